@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonarium.llm import packing, spans, tokens
+from sonarium.llm import garbled, packing, spans, tokens
 from sonarium.session import table
 
 
+def p4_repairs(spark, sf_dir):
+    """Every wrongly decoded value with what could be restored; statistics over both tables."""
+    report, media = table(spark, sf_dir, "smoke_final_completed"), table(spark, sf_dir, "media_inventory")
+    texts = report.select(F.explode(F.array("title", "artist", "album")).alias("t")).union(media.select("tags_json"))
+    stats = garbled.gather(texts, ["t"])
+    a = garbled.repaired(report, "row_id", ["title", "artist", "album"], stats).withColumnRenamed("row_id", "record_id")
+    b = garbled.repaired(media, "scan_id", ["tags_json"], stats).withColumnRenamed("scan_id", "record_id")
+    return a.select(F.lit("smoke_final_completed").alias("table_name"), "*").unionByName(b.select(F.lit("media_inventory").alias("table_name"), "*"))
+
+
+def p4_found(spark, sf_dir):
+    return p4_repairs(spark, sf_dir).select("table_name", "record_id", "field_name")
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -24,5 +38,8 @@ def p9_found(spark, sf_dir):
     return spans.shared_chars(spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 200)).where(F.col("shared_chars") > 0)
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found}
+QUERIES = {
+    "p4_found": p4_found, "p4_repairs": p4_repairs,
+    "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found,
+}
 SQL: dict[str, str] = {}
