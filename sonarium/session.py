@@ -65,3 +65,11 @@ def held(df: DataFrame, **columns) -> DataFrame:
     one = F.struct(*[c.alias(n) for n, c in columns.items()])
     kept = [F.col(c) for c in df.columns if c not in columns]
     return df.select("*", F.explode(F.array(one)).alias("_held")).select(*kept, *[F.col("_held")[n].alias(n) for n in columns])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many partitions as the cluster keeps busy, by ``keys``: for small rows that cost much time each, which
+    adaptive execution would otherwise put together by their size."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
