@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonarium.llm import garbled, packing, spans, tokens
+from sonarium.llm import garbled, names, packing, spans, tokens
 from sonarium.session import table
 
 
@@ -22,6 +22,16 @@ def p4_found(spark, sf_dir):
     return p4_repairs(spark, sf_dir).select("table_name", "record_id", "field_name")
 
 
+def p5_entities(spark, sf_dir):
+    """Every spelling with the entity it names."""
+    d = table(spark, sf_dir, "smoke_final_completed")
+    return names.link(d.select(F.explode(F.array("artist", "album_artist", "composer")).alias("name")))
+
+
+def p5_found(spark, sf_dir):
+    return names.pairs(p5_entities(spark, sf_dir))
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -40,6 +50,6 @@ def p9_found(spark, sf_dir):
 
 QUERIES = {
     "p4_found": p4_found, "p4_repairs": p4_repairs,
-    "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found,
+    "p5_found": p5_found, "p5_entities": p5_entities, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
