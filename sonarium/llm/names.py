@@ -85,7 +85,7 @@ def normal_name(text: str, stats: Statistics | None = None) -> tuple[str, str, s
     if not re.search(r"[\s_,.\-]", t):
         t = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-ZÀ-ÖØ-Þ])", " ", t)
     t = fold(t)
-    t = re.sub(r"\bs\.\s*s\.$|\bsound[\s_-]+sy\w*m\b|\bso\w*nd[\s_-]+system\b", "soundsystem", t)
+    t = re.sub(r"(?<=\w )s\.\s*s\.$|\bs\w{2,5}d[\s_-]+sy\w*m\b", "soundsystem", t)
     if t.count(",") == 1:
         last, first = t.split(",")
         t = f"{first} {last}"
