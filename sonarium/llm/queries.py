@@ -4,8 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonarium.llm import garbled, names, packing, spans, tokens
-from sonarium.session import table
+from sonarium.llm import garbled, names, packing, spans, survivors, tokens, vocabulary
+from sonarium.session import stored, table
+
+
+FIELDS = ["filename", "title", "artist", "album", "album_artist", "year", "date", "genre", "subgenre", "moods", "key", "language", "instruments", "themes", "composer", "label", "isrc", "bpm"]
+
+
+def _recordings(spark, sf_dir):
+    d = table(spark, sf_dir, "smoke_final_completed")
+    return stored(survivors.recordings(d, p5_entities(spark, sf_dir)), "recordings")
+
+
+def p1_found(spark, sf_dir):
+    scores = table(spark, sf_dir, "smoke_final_no_blanks")
+    return survivors.best_rows(table(spark, sf_dir, "smoke_final_completed"), _recordings(spark, sf_dir), scores)
+
+
+def p1_records(spark, sf_dir):
+    """One merged record for each recording, field by field."""
+    scores = table(spark, sf_dir, "smoke_final_no_blanks")
+    return survivors.merged_records(table(spark, sf_dir, "smoke_final_completed"), _recordings(spark, sf_dir), scores, FIELDS)
+
+
+def p2_values(spark, sf_dir):
+    """Every case with its value and score."""
+    return vocabulary.mapped_fields(table(spark, sf_dir, "smoke_final_completed"), table(spark, sf_dir, "genre_catalog"))
+
+
+def p2_found(spark, sf_dir):
+    return p2_values(spark, sf_dir).select("row_id", "field_name", "genre_id").distinct()
 
 
 def p4_repairs(spark, sf_dir):
@@ -49,7 +77,7 @@ def p9_found(spark, sf_dir):
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_repairs": p4_repairs,
+    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_repairs": p4_repairs,
     "p5_found": p5_found, "p5_entities": p5_entities, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
