@@ -42,11 +42,8 @@ def ascii_key(text: str) -> str:
     return re.sub(r"[^a-z0-9&]+", "", t)
 
 
-@pandas_udf("struct<key string, bare string>")
 def _keys(titles: pd.Series) -> pd.DataFrame:
-    memory: dict = {}
-    for t in titles.unique():
-        memory[t] = (None, None) if t is None else (title_key(t), ascii_key(t))
+    memory = {t: (None, None) if t is None else (title_key(t), ascii_key(t)) for t in titles.unique()}
     return pd.DataFrame([memory[t] for t in titles], columns=["key", "bare"])
 
 
@@ -57,7 +54,8 @@ def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
     same artist's title that has the same letters otherwise. A hot artist is one key of the first join; adaptive execution
     splits it, and all later keys hold the title too.
     """
-    d = df.select("row_id", F.col("artist").alias("name"), _keys("title").alias("k")).where(F.col("k.key").isNotNull())
+    keys = pandas_udf(_keys, "struct<key string, bare string>")
+    d = df.select("row_id", F.col("artist").alias("name"), keys("title").alias("k")).where(F.col("k.key").isNotNull())
     d = d.join(entities, "name").select("row_id", "entity", "k.key", "k.bare")
     lost = F.startswith("key", F.lit(LOST))
     known = d.where(~lost).groupBy("entity", "bare").agg(F.min("key").alias("known"))
