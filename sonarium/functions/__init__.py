@@ -1,0 +1 @@
+"""Column functions: canonical keys, text, numbers, validity."""

@@ -28,8 +28,8 @@ WITH long AS (
 parts AS (
   SELECT row_id, field_name, list_filter(list_transform(
     regexp_extract_all(CASE WHEN listed THEN replace(v, '\\"', '""') ELSE v END, '\\s*(?:"(?:[^"]|"")*"|''(?:[^'']*)'')\\s*|[^,;|·\\t\\n\\r]+'),
-    x -> CASE WHEN starts_with(trim(x), '"') AND length(trim(x)) > 1 THEN trim(replace(substr(trim(x), 2, length(trim(x)) - 2), '""', '"'))
-              WHEN starts_with(trim(x), '''') AND length(trim(x)) > 1 THEN trim(substr(trim(x), 2, length(trim(x)) - 2)) ELSE trim(x) END), x -> x <> '') AS items
+    lambda x: CASE WHEN starts_with(trim(x), '"') AND length(trim(x)) > 1 THEN trim(replace(substr(trim(x), 2, length(trim(x)) - 2), '""', '"'))
+              WHEN starts_with(trim(x), '''') AND length(trim(x)) > 1 THEN trim(substr(trim(x), 2, length(trim(x)) - 2)) ELSE trim(x) END), lambda x: x <> '') AS items
   FROM long)
 SELECT row_id, field_name, CAST(pos AS INTEGER) AS pos, items[pos] AS item_text
 FROM (SELECT row_id, field_name, items, unnest(range(1, len(items) + 1)) AS pos FROM parts WHERE len(items) >= 2)
