@@ -23,7 +23,7 @@ QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
 # blanks becomes a bar first (no quoted span of the data holds one).
 _P3 = """
 WITH long AS (
-  SELECT row_id, field_name, regexp_replace(regexp_replace(value, '^\\s*\\[(.*)\\]\\s*$', '\\1'), '\\s/\\s', ' | ', 'g') AS v, starts_with(ltrim(value), '[') AS listed
+  SELECT row_id, field_name, regexp_replace(regexp_replace(value, '^\\s*\\[(.*)\\]\\s*$', '\\1'), '\\s/\\s|[\\t\\n\\r]', ' | ', 'g') AS v, starts_with(ltrim(value), '[') AS listed
   FROM (UNPIVOT (SELECT row_id, moods, subgenre, instruments, themes FROM smoke_final_completed) ON moods, subgenre, instruments, themes INTO NAME field_name VALUE value)),
 parts AS (
   SELECT row_id, field_name, list_filter(list_transform(
