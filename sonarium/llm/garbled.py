@@ -99,6 +99,12 @@ class Statistics:
         return np.where((codes[:-1] < 128) & (codes[1:] < 128), -UNSEEN, bits)
 
 
+@lru_cache(maxsize=1)
+def no_statistics() -> Statistics:
+    """Statistics of no text, made once a process: every pair counts as unseen."""
+    return Statistics()
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int]]:
     """All maximal scoring segments ``[begin, end)`` of a sequence of scores, disjoint, in order."""
     found: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum at end

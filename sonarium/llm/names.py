@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.garbled import LOST, Statistics, repair
+from sonarium.llm.garbled import LOST, Statistics, no_statistics, repair
 from sonarium.session import small, spread, stored
 
 # What stands for no name.
@@ -79,7 +79,7 @@ def _group_word(token: str) -> str | None:
 
 def normal_name(text: str, stats: Statistics | None = None) -> tuple[str, str, str, str] | None:
     """``(kind, first, middle, last)`` of a spelling; for groups the two words and the kind of group; None if it names nobody."""
-    t = unicodedata.normalize("NFKC", repair(text, stats or Statistics())[0]).strip()
+    t = unicodedata.normalize("NFKC", repair(text, stats or no_statistics())[0]).strip()
     if fold(" ".join(t.split())) in NOBODY:
         return None
     if not re.search(r"[\s_,.\-]", t):

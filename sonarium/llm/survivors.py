@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sonarium.llm.garbled import LOST, Statistics, repair
+from sonarium.llm.garbled import LOST, no_statistics, repair
 from sonarium.llm.names import fold
 
 # What a value may be written as where none was found.
@@ -30,7 +30,7 @@ def title_key(text: str | None) -> str | None:
     """
     if text is None or fold(text).strip() in MISSING:
         return None
-    fixed = repair(text, Statistics())[0]
+    fixed = repair(text, no_statistics())[0]
     if LOST in fixed:
         return LOST + ascii_key(fixed)
     return re.sub(r"[^\w&]+", " ", _plain(fixed)).strip() or fixed.strip()
@@ -38,7 +38,7 @@ def title_key(text: str | None) -> str | None:
 
 def ascii_key(text: str) -> str:
     """The ASCII letters and digits of a title alone: equal for a title and the same with its other characters lost."""
-    t = re.sub(NOISE, " ", repair(text, Statistics())[0].lower())
+    t = re.sub(NOISE, " ", repair(text, no_statistics())[0].lower())
     return re.sub(r"[^a-z0-9&]+", "", t)
 
 
