@@ -9,39 +9,51 @@ from sonarium.functions.numbers import clock, seconds, tempo
 from sonarium.functions.text import distinct_values, flag, key_filename, key_title, key_value, lyrics_marked, path_parts, safe_name, split_dashes, split_values, squeeze, title_case
 from sonarium.functions.validity import distinct_tags, fallback, first_of, issues, missing, points, usable_name
 from sonarium.operators.state import first_per_key, propagated
+from sonarium.session import held
 
 #: Tag sources of a portal row, in order (C-11), and where rows go that no folder claims.
 TAG_SOURCES, UNMATCHED = ("subgenre", "moods", "mood", "weather", "season", "age_group"), "_unmatched"
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the keys that the rules compare, each computed once: of title, artist and genre, and of the pair in the file name."""
+    d = held(df, _name=split_dashes(F.regexp_replace(F.col("filename"), r"\.[A-Za-z0-9]{2,4}$", "")))
+    d = held(d, _tv=key_value(F.col("title")), _a=key_value(F.col("artist")), _g=key_value(F.col("genre")), _na=F.col("_name.artist"), _nt=F.col("_name.title"))
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\blyrics?\b", " "), " +", " "))
+    return held(d, _t=bare(F.col("_tv")), _nak=key_value(F.col("_na")), _ntk=key_title(F.col("_nt"))).drop("_name")
+
+
+KEYS = ["_tv", "_a", "_g", "_na", "_nt", "_t", "_nak", "_ntk"]
+
+
 def distinct_core(df: DataFrame) -> DataFrame:
     """C-09: an artist equal to the title gives way to the file name's, or to nothing; so does one that the file name contradicts; a genre equal to either is dropped."""
-    name = split_dashes(F.regexp_replace(F.col("filename"), r"\.[A-Za-z0-9]{2,4}$", ""))
-    a, t = name["artist"], name["title"]
-    same = (key_title(F.col("title")) == key_value(F.col("artist"))) & (key_title(F.col("title")) != "")
-    artist = F.when(same, F.when((a != "") & (key_value(a) != key_title(F.col("title"))), a).otherwise("")).otherwise(F.col("artist"))
-    d = df.withColumn("artist", artist)
-    agrees = (t != "") & (a != "") & (key_title(t) == key_title(F.col("title"))) & (key_title(F.col("title")) != "")
-    d = d.withColumn("artist", F.when(agrees, a).otherwise(F.col("artist")))
-    return d.withColumn("genre", F.when(key_value(F.col("genre")).isin(key_title(F.col("title")), key_value(F.col("artist"))), "").otherwise(F.col("genre")))
-
-
-def quality_points(df: DataFrame) -> Column:
-    """T-08: points of a portal row."""
-    filled = lambda c: squeeze(F.col(c)) != ""
-    name = split_dashes(F.regexp_replace(F.col("filename"), r"\.[A-Za-z0-9]{2,4}$", ""))
-    t, a, fa = key_value(F.col("title")), key_value(F.col("artist")), key_value(name["artist"])
-    prefixed = ((a != "") & ((t == a) | t.startswith(F.concat(a, F.lit(" "))))) | ((fa != "") & ((t == fa) | t.startswith(F.concat(fa, F.lit(" ")))))
-    rules = {f"has_{c}": (filled(c), 5) for c in ("album", "tempo", "filename", "year", "label", "tag")}
-    title, artist, genre, language = usable_name(F.col("title")), usable_name(F.col("artist")), usable_name(F.col("genre")), usable_name(F.col("language"))
+    d = _keyed(df)
+    same = (F.col("_t") == F.col("_a")) & (F.col("_t") != "")
+    agrees = (F.col("_na") != "") & (F.col("_t") != "") & (F.col("_ntk") == F.col("_t"))
+    named = (F.col("_na") != "") & (F.col("_nak") != F.col("_t"))
+    which = F.when(agrees, "name").when(same, F.when(named, "name").otherwise("none")).otherwise("own")
+    d = held(d, _which=which)
+    d = held(d, artist=F.when(F.col("_which") == "name", F.col("_na")).when(F.col("_which") == "none", "").otherwise(F.col("artist")), _a=F.when(F.col("_which") == "name", F.col("_nak")).when(F.col("_which") == "none", "").otherwise(F.col("_a")))
+    return held(d, genre=F.when(F.col("_g").isin(F.col("_t"), F.col("_a")), "").otherwise(F.col("genre"))).drop("_which", *KEYS)
+
+
+def with_points(df: DataFrame, out: str = "_points") -> DataFrame:
+    """T-08: ``df`` with the points of each portal row."""
+    d = _keyed(df)
+    names = {c: usable_name(F.col(c)) for c in ("title", "artist", "genre", "language")}
+    d = held(d, **{f"_ok_{c}": F.coalesce(v, F.lit(False)) for c, v in names.items()})
+    t, a, fa = F.col("_tv"), F.col("_a"), F.col("_nak")
+    begins = lambda x: (x != "") & ((t == x) | F.startswith(t, F.concat(x, F.lit(" "))))
+    prefixed = begins(a) | begins(fa)
+    rules = {f"has_{c}": (F.trim(c) != "", 5) for c in ("album", "tempo", "filename", "year", "label", "tag")}
     rules |= {
-        "title": (title, 10), "no_title": (~title, -80), "artist": (artist, 10), "no_artist": (~artist, -60), "genre": (genre, 10), "no_genre": (~genre, -50),
-        "language": (language, 5), "no_language": (~language, -20), "time": (seconds(F.col("time")) > 0, 15),
-        "voice": (F.col("vocal").isin("0", "1") & F.col("instrumental").isin("0", "1") & (F.col("vocal") != F.col("instrumental")), 10),
-        "prefixed": (prefixed, -25), "clean": (~prefixed, 25), "same_artist": ((a != "") & (a == fa), 20),
-        "same_title": ((name["title"] != "") & (key_title(F.col("title")) == key_title(name["title"])), 20),
+        "title": (F.col("_ok_title"), 10), "no_title": (~F.col("_ok_title"), -80), "artist": (F.col("_ok_artist"), 10), "no_artist": (~F.col("_ok_artist"), -60),
+        "genre": (F.col("_ok_genre"), 10), "no_genre": (~F.col("_ok_genre"), -50), "language": (F.col("_ok_language"), 5), "no_language": (~F.col("_ok_language"), -20),
+        "time": (seconds(F.col("time")) > 0, 15), "voice": (F.col("vocal").isin("0", "1") & F.col("instrumental").isin("0", "1") & (F.col("vocal") != F.col("instrumental")), 10),
+        "prefixed": (prefixed, -25), "clean": (~prefixed, 25), "same_artist": ((a != "") & (a == fa), 20), "same_title": ((F.col("_nt") != "") & (F.col("_t") == F.col("_ntk")), 20),
     }
-    return points(**rules)
+    return held(d, **{out: points(**rules)}).drop(*KEYS, *[f"_ok_{c}" for c in names])
 
 
 def portal_rows(df: DataFrame) -> DataFrame:
@@ -53,9 +65,9 @@ def portal_rows(df: DataFrame) -> DataFrame:
         F.col("filename"), F.regexp_extract(F.coalesce("year", "date", F.lit("")), r"((?:19|20)\d{2})", 1).alias("year"), squeeze(F.col("language")).alias("language"), F.lit("0").alias("isDL"),
         F.lit("SMC").alias("label"), flag(F.col("vocals"), "vocal|choir|voice", "0").alias("vocal"), flag(F.col("vocals"), "instrumental", "0").alias("instrumental"), tags.alias("_tags"),
     )
-    d = distinct_core(d)
-    tag = F.array_join(F.transform(distinct_tags(F.col("_tags"), F.col("title"), F.col("artist"), F.col("genre")), lambda t: title_case(t)), ",")
-    return d.withColumn("tag", tag).drop("_tags")
+    d = distinct_core(held(d, title=F.col("title"), artist=F.col("artist"), genre=F.col("genre"), _tags=F.col("_tags")))
+    d = held(d, _tags=distinct_tags(F.col("_tags"), F.col("title"), F.col("artist"), F.col("genre")))
+    return held(d, tag=F.array_join(F.transform("_tags", lambda t: title_case(t)), ",")).drop("_tags")
 
 
 def portal_issues(df: DataFrame) -> Column:
@@ -76,12 +88,12 @@ def convert(df: DataFrame, strict: bool = True) -> DataFrame:
     """Report rows to portal rows: the best row of each file name (earliest on ties), the first genre of a song for all its rows,
     one row an identity, and then, if ``strict``, only valid ones. A row that is dropped as invalid still suppresses its twins."""
     d = portal_rows(df)
-    d = d.withColumn("_key", key_filename(F.col("filename"))).withColumn("_points", quality_points(d))
+    d = with_points(held(d, _key=key_filename(F.col("filename"))))
     best = d.where(F.col("_key") != "").groupBy("_key").agg(F.min("seq").alias("_group"), F.max(F.struct("_points", (-F.col("seq")).alias("o"), *[c for c in d.columns if c[0] != "_" and c != "seq"])).alias("b"))
     d = best.select(F.col("_group").alias("seq"), *[F.col(f"b.{c}").alias(c) for c in d.columns if c[0] != "_" and c != "seq"])
-    d = d.withColumn("_song", F.concat_ws("::", key_title(F.col("title")), key_value(F.col("artist"))))
+    d = held(d, _song=F.concat_ws("::", key_title(F.col("title")), key_value(F.col("artist"))))
     d = propagated(d, "_song", ["seq"], "genre", "genre", exempt="::").drop("_song")
-    d = first_per_key(d.withColumn("_id", identity(d)), ["_id"], ["seq"]).drop("_id")
+    d = first_per_key(held(d, _id=identity(d)), ["_id"], ["seq"]).drop("_id")
     return d.where(F.size(portal_issues(d)) == 0) if strict else d
 
 
