@@ -40,6 +40,8 @@ SHORT_NAMES = {
 }
 SLOTS = 1 << 20
 GRAM = 4
+#: Added to document counts, so that an n-gram that only a typing error made weighs little more than the others of its name.
+SMOOTH = 50
 #: Least cosine of two spellings that the join finds, and least average cosine within an entity.
 JOIN_AT, LINK_AT = 0.5, 0.3
 
@@ -125,7 +127,7 @@ class Weights:
     """Inverse document frequencies of hashed n-grams, in an array of fixed size."""
 
     def __init__(self, counts: np.ndarray, n: int):
-        self.idf = np.log((n + 1) / (1 + counts)).astype(np.float32) + np.float32(0.01)
+        self.idf = (1 + np.log((n + SMOOTH) / (counts + SMOOTH))).astype(np.float32)
 
     def vector(self, *name) -> tuple[np.ndarray, np.ndarray]:
         """Slots, rarest first, and their share of a unit vector."""
