@@ -63,9 +63,11 @@ def keyword_rules(df: DataFrame, key: str, text: Column, rules: list[tuple[str,
 
 
 def fill_rules(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """C-01, C-02, C-06: ordered imputation; each rule fills its column where that is blank, and later rules see what earlier ones filled."""
+    """C-01, C-02, C-06: ordered imputation; each rule fills its column where that is blank, and later rules see what earlier ones filled.
+
+    Values lose their outer blanks; what no rule fills is null."""
     from sonarium.session import held
 
     for column, value in rules:
-        df = held(df, **{column: F.coalesce(F.nullif(F.trim(column), F.lit("")), value)})
+        df = held(df, **{column: F.coalesce(F.nullif(F.trim(column), F.lit("")), F.nullif(F.trim(value), F.lit("")))})
     return df
