@@ -135,4 +135,9 @@ SQL = {
         "SELECT doc_id, len(list_intersect(t, ['og','ikke','der','af','til'])) AS da, len(list_intersect(t, ['og','ikke','av','til','jeg'])) AS no, len(list_intersect(t, ['och','inte','av','till','jag'])) AS sv FROM t",
     "media_scan": r"SELECT DISTINCT path FROM media_inventory WHERE regexp_matches(lower(path), '\.(mp3|wav)$') AND NOT regexp_matches(replace(lower(path), '\', '/'), '(^|/)_loop/')",
     "new_files": "WITH d AS (SELECT *, CAST(floor(mtime * 1000) AS BIGINT) AS t FROM media_inventory) SELECT scan_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.scan_id % 2 = 0 AND k.path = d.path AND k.size_bytes = d.size_bytes AND k.t = d.t)",
+    "best_artist": r"""WITH k AS (SELECT album, row_id AS ord, artist AS name, row_id % 10 AS score, trim(regexp_replace(trim(regexp_replace(replace(lower(replace(trim(regexp_replace(artist, '[\s\x{a0}\x{85}]+', ' ', 'g')), 'İ', 'i' || chr(775))), '&', 'and'), '[^a-z0-9/]+', ' ', 'g')), ' +', ' ', 'g')) AS k
+        FROM smoke_final_completed WHERE artist IS NOT NULL AND album IS NOT NULL), b AS (SELECT * FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY album, k ORDER BY score DESC, ord) = 1)
+        SELECT album, name, CAST(score AS BIGINT) AS score FROM b QUALIFY row_number() OVER (PARTITION BY album ORDER BY score DESC, ord) = 1""",
+    "tags_payload": r"""SELECT scan_id, trim(regexp_replace(coalesce(nullif(trim(json_extract_string(tags_json, '$.title')), ''), ''), '[\s\x{a0}\x{85}]+', ' ', 'g')) AS title, trim(regexp_replace(coalesce(nullif(trim(json_extract_string(tags_json, '$.artist')), ''), ''), '[\s\x{a0}\x{85}]+', ' ', 'g')) AS artist
+        FROM media_inventory WHERE json_valid(tags_json) AND tags_json <> ''""",
 }

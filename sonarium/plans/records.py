@@ -175,4 +175,6 @@ SQL = {
     "clock_times": "SELECT scan_id, printf('%02d:%02d:%02d', coalesce(duration_seconds, 0) // 3600, coalesce(duration_seconds, 0) % 3600 // 60, coalesce(duration_seconds, 0) % 60) AS time FROM media_inventory",
     "number_fields": r"""SELECT row_id, CASE WHEN regexp_matches(bpm, '^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$') AND CAST(bpm AS DOUBLE) BETWEEN 30 AND 300 THEN CAST(round_even(CAST(bpm AS DOUBLE), 0) AS INTEGER) END AS tempo,
         CASE WHEN CAST(danceability AS DOUBLE) >= 0.67 THEN 'high' WHEN CAST(danceability AS DOUBLE) >= 0.40 THEN 'medium' WHEN danceability IS NOT NULL THEN 'low' END AS band FROM smoke_final_completed""",
+    "track_windows": """WITH d AS (SELECT scan_id, coalesce(duration_seconds, 0) AS d FROM media_inventory), w AS (SELECT scan_id, CAST(floor((d - 15) * (i + 1) / 4) AS INTEGER) AS start, 15 AS length FROM d, (SELECT unnest([0, 1, 2]) AS i) WHERE d > 15
+        UNION ALL SELECT scan_id, 0, CASE WHEN d > 0 THEN least(15, d) ELSE 15 END FROM d WHERE d <= 15) SELECT DISTINCT scan_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length FROM w""",
 }
