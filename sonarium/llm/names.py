@@ -74,6 +74,9 @@ def _group_word(token: str) -> str | None:
     token = SHORT_FORMS.get(token, token)
     if token in GROUP_WORDS:
         return token
+    for short, word in SHORT_FORMS.items():
+        if len(short) >= 3 and token[:1] == short[:1] and sorted(set(token)) == sorted(set(short)) and edits(token, short, 1) == 1:
+            return word
     near = [(edits(token, w, 2), w) for w in GROUP_WORDS if len(w) >= 4 and token[:1] == w[:1]]
     d, w = min(near, default=(9, ""))
     return w if d <= (1 if len(w) <= 5 else 2) and len(token) >= 3 else None
@@ -93,6 +96,10 @@ def normal_name(text: str, stats: Statistics | None = None) -> tuple[str, str, s
         t = f"{first} {last}"
     tokens = [x for x in re.split(r"[\s_.,\-]+", t) if x]
     tokens = [x for x in tokens if x != "the"] or tokens
+    for at in range(len(tokens) - 1):
+        if tokens[at][0] == "s" and tokens[at + 1][0] == "s" and edits(tokens[at], "sound", 2) <= 2 and edits(tokens[at + 1], "system", 2) <= 2:
+            tokens[at : at + 2] = ["soundsystem"]
+            break
     if len(tokens) == 2 and LOST in t:  # a lost blank
         tokens = [y for x in tokens for y in (x.split(LOST) if re.fullmatch(rf"[^{LOST}]{{3,}}{LOST}+[^{LOST}]{{3,}}", x) else [x])]
     if len(tokens) >= 2:
@@ -207,13 +214,14 @@ def nicknames(nodes: DataFrame, least: int = 2) -> DataFrame:
 def same_name(a: str, b: str) -> Column:
     """Whether the name parts with the prefixes ``a`` and ``b`` can be one name: a condition of the join, all in the JVM.
 
-    Persons: an initial stands for any name that begins with it; a first name also for the one it is short for. With equal
+    Persons: an initial stands for any name that begins with it, a lost one for any; a first name also for the one it is short for. With equal
     last names the middle names must agree as far as both are given. Where last names differ by a typing error, the middle
     names must be given in full and agree. Three full parts may stand in another order. Groups: the same kind, and both words agree, at most one of them mistyped.
     """
     col = lambda s, n: F.col(s + n)
     near = lambda n, k: (F.abs(F.length(col(a, n)) - F.length(col(b, n))) <= k) & (F.levenshtein(col(a, n), col(b, n)) <= k)
-    initial = lambda n: ((F.length(col(a, n)) == 1) | (F.length(col(b, n)) == 1)) & (F.substring(col(a, n), 1, 1) == F.substring(col(b, n), 1, 1))
+    lost = lambda n: (col(a, n) == LOST) | (col(b, n) == LOST)
+    initial = lambda n: ((F.length(col(a, n)) == 1) | (F.length(col(b, n)) == 1)) & ((F.substring(col(a, n), 1, 1) == F.substring(col(b, n), 1, 1)) | lost(n))
     full = lambda n: (F.length(col(a, n)) > 1) & (F.length(col(b, n)) > 1)
     same_last = col(a, "last") == col(b, "last")
     near_last = near("last", 2) & (F.length(col(a, "last")) >= 4)

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from sonarium.llm import names, survivors, vocabulary
 
-ONE = ["José Supu Hosjormer", "JosÃ© Supu Hosjormer", "Pepe Supu Hosjormer", "Pepe Hosjormer", "Hosjormer, J. S.", "J.S. Hosjormer", "HOSJORMER, José S.", "Hosjormer, José Supu", "jose supu hosjormer", "José_Supu Hosjormer", "José Supu Hosjomrer", "JoséSupuHosjormer", " José Supu Hosjormer", "Hosjormer José Supu", "Jos� Supu Hosjormer"]
-TWO = ["The Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective, The", "the femvil vilfemsol coll.", "The Femvil Vilemsol Collective", "F. Vilfemsol Collective", "Collective Femvil Vilfemsol"]
-OTHERS = ["José Kelmun Døbraji", "Maria Supu Tantreli", "The Bomgun Hønkudru Collective", "Femvil Gromislos Trio"]
+ONE = ["José Supu Hosjormer", "JosÃ© Supu Hosjormer", "Pepe Supu Hosjormer", "Pepe Hosjormer", "Hosjormer, J. S.", "J.S. Hosjormer", "HOSJORMER, José S.", "Hosjormer, José Supu", "jose supu hosjormer", "José_Supu Hosjormer", "José Supu Hosjomrer", "JoséSupuHosjormer", " José Supu Hosjormer", "Hosjormer José Supu", "Jos� Supu Hosjormer", "�. S. Hosjormer", "José Hosjormer-Supu"]
+TWO = ["The Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective, The", "the femvil vilfemsol coll.", "The Femvil Vilemsol Collective", "F. Vilfemsol Collective", "Collective Femvil Vilfemsol", "Femvil Vilfemsol Colll."]
+OTHERS = ["José Kelmun Døbraji", "Maria Supu Tantreli", "The Bomgun Hønkudru Collective", "Femvil Gromislos Trio", "The Nollus Pünlurme Sound Ssytem"]
 
 
 def test_variants_meet_and_others_do_not(spark):
@@ -20,6 +20,12 @@ def test_variants_meet_and_others_do_not(spark):
     assert names.link(d.limit(0)).count() == 0
 
 
+def test_parts():
+    assert names.normal_name("The Nollus Pünlurme Soudn System") == names.normal_name("Nollus Punlurme S.S.") == ("soundsystem", "", "nollus", "punlurme")
+    assert names.normal_name("S.S. Jelkluvol") == ("person", "s", "s", "jelkluvol") and names.normal_name("Pilhasdak, S. S.") == ("person", "s", "s", "pilhasdak")
+    assert names.normal_name("Bovis Kurfafon 4teet")[0] == "quartet" and names.normal_name("Cher") == ("person", "", "", "cher")
+
+
 def test_prefix_loses_no_near_pair():
     import numpy as np
 
