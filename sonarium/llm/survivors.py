@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from sonarium.llm.garbled import LOST, no_statistics, repair
 from sonarium.llm.names import fold
+from sonarium.session import stored
 
 # What a value may be written as where none was found.
 MISSING = ("", "needs_review", "unknown", "n/a", "-", "none", "unknown year", "unknown key", "unknown bpm", "not listed in free sources", "embedded or not listed in free sources")
@@ -56,7 +57,8 @@ def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
     """
     keys = pandas_udf(_keys, "struct<key string, bare string>")
     d = df.select("row_id", F.col("artist").alias("name"), keys("title").alias("k")).where(F.col("k.key").isNotNull())
-    d = d.join(entities, "name").select("row_id", "entity", "k.key", "k.bare")
+    d = stored(d.select("row_id", "name", "k.key", "k.bare"), "titles")  # both branches below read it
+    d = d.join(entities, "name").select("row_id", "entity", "key", "bare")
     lost = F.startswith("key", F.lit(LOST))
     known = d.where(~lost).groupBy("entity", "bare").agg(F.min("key").alias("known"))
     fixed = d.where(lost).join(known, ["entity", "bare"], "left").withColumn("key", F.coalesce("known", "key")).drop("known")
