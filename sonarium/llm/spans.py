@@ -14,7 +14,7 @@ BLOCK = 1_000_000
 #: Entries a task gathers before it sends them, one row a bucket.
 GATHER = 1_500_000
 #: Entries that one bucket should hold on average; the number of buckets follows the corpus.
-BUCKET = 400_000
+BUCKET = 200_000
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -78,8 +78,11 @@ class _Sender:
         return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=_NAMES)]
 
 
-def _shared(entries: DataFrame, collapse) -> DataFrame:
-    """``(doc_id, begin int, end int)`` of the entries whose key stands in several documents; ``collapse`` turns them into spans."""
+def _shared(entries: DataFrame, buckets: int, collapse) -> DataFrame:
+    """``(doc_id, begin int, end int)`` of the entries whose key stands in several documents; ``collapse`` turns them into spans.
+
+    There is a partition for each bucket on average, so that tasks stay as they are while the corpus grows.
+    """
 
     def reduce(group: pa.Table) -> pa.Table:
         keys, docs, places, extras, direct = [], [], [], [], []
@@ -107,7 +110,7 @@ def _shared(entries: DataFrame, collapse) -> DataFrame:
         doc, begin, end = collapse(doc, place, (extra & 0x7F).astype(np.int32))
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
 
-    return entries.groupBy("bucket").applyInArrow(reduce, "doc_id bigint, begin int, end int")
+    return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "doc_id bigint, begin int, end int")
 
 
 def _blocks(docs: list, texts: list):
@@ -203,10 +206,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     docs = df.where(F.length(text) >= least).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(16, chars // 12 // BUCKET))
-    anchors = _shared(docs.mapInArrow(_anchors(least, buckets), _ENTRY), lambda d, p, e: (d, p, e))
+    anchors = _shared(docs.mapInArrow(_anchors(least, buckets), _ENTRY), buckets, lambda d, p, e: (d, p, e))
     marks = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("m")).select("doc_id", F.col("m.begin").alias("places"), F.col("m.end").alias("gaps"))
     candidates = docs.join(marks, "doc_id").select("doc_id", "text", "places", "gaps")
-    return _shared(candidates.mapInArrow(_windows(least, buckets), _ENTRY), _runs(least))
+    return _shared(candidates.mapInArrow(_windows(least, buckets), _ENTRY), buckets, _runs(least))
 
 
 def shared_chars(spans: DataFrame) -> DataFrame:
