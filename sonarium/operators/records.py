@@ -56,14 +56,14 @@ def with_points(df: DataFrame, out: str = "_points") -> DataFrame:
     return held(d, **{out: points(**rules)}).drop(*KEYS, *[f"_ok_{c}" for c in names])
 
 
-def portal_rows(df: DataFrame) -> DataFrame:
-    """R-02, C-11, C-13, C-18: report rows as the 14 portal columns, with ``seq`` for their order."""
+def portal_rows(df: DataFrame, album: str = "Single", label: str = "Unspecified") -> DataFrame:
+    """R-02, C-11, C-13, C-18: report rows as the 14 portal columns, with ``seq`` for their order; album and label are fixed for all rows."""
     tags = F.flatten(F.array(*[split_values(F.col(c)) for c in TAG_SOURCES]))
     d = df.select(
-        F.col("row_id").alias("seq"), lyrics_marked(squeeze(F.col("title")), F.col("filename")).alias("title"), F.lit("Single").alias("album"), squeeze(F.col("artist")).alias("artist"),
+        F.col("row_id").alias("seq"), lyrics_marked(squeeze(F.col("title")), F.col("filename")).alias("title"), F.lit(album).alias("album"), squeeze(F.col("artist")).alias("artist"),
         F.lit("00:00:00").alias("time"), first_of(F.get(split_values(F.col("genre")), F.lit(0))).alias("genre"), F.coalesce(tempo(F.col("bpm")).cast("string"), F.lit("")).alias("tempo"),
         F.col("filename"), F.regexp_extract(F.coalesce("year", "date", F.lit("")), r"((?:19|20)\d{2})", 1).alias("year"), squeeze(F.col("language")).alias("language"), F.lit("0").alias("isDL"),
-        F.lit("SMC").alias("label"), flag(F.col("vocals"), "vocal|choir|voice", "0").alias("vocal"), flag(F.col("vocals"), "instrumental", "0").alias("instrumental"), tags.alias("_tags"),
+        F.lit(label).alias("label"), flag(F.col("vocals"), "vocal|choir|voice", "0").alias("vocal"), flag(F.col("vocals"), "instrumental", "0").alias("instrumental"), tags.alias("_tags"),
     )
     d = distinct_core(held(d, title=F.col("title"), artist=F.col("artist"), genre=F.col("genre"), _tags=F.col("_tags")))
     d = held(d, _tags=distinct_tags(F.col("_tags"), F.col("title"), F.col("artist"), F.col("genre")))
