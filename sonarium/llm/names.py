@@ -74,9 +74,10 @@ def _group_word(token: str) -> str | None:
     token = SHORT_FORMS.get(token, token)
     if token in GROUP_WORDS:
         return token
-    for short, word in SHORT_FORMS.items():
-        if len(short) >= 3 and token[:1] == short[:1] and sorted(set(token)) == sorted(set(short)) and edits(token, short, 1) == 1:
-            return word
+    if len(token) <= 6:
+        for short, word in SHORT_FORMS.items():
+            if len(short) >= 3 and token[:1] == short[:1] and set(token) == set(short) and edits(token, short, 1) == 1:
+                return word
     near = [(edits(token, w, 2), w) for w in GROUP_WORDS if len(w) >= 4 and token[:1] == w[:1]]
     d, w = min(near, default=(9, ""))
     return w if d <= (1 if len(w) <= 5 else 2) and len(token) >= 3 else None
@@ -97,7 +98,7 @@ def normal_name(text: str, stats: Statistics | None = None) -> tuple[str, str, s
     tokens = [x for x in re.split(r"[\s_.,\-]+", t) if x]
     tokens = [x for x in tokens if x != "the"] or tokens
     for at in range(len(tokens) - 1):
-        if tokens[at][0] == "s" and tokens[at + 1][0] == "s" and edits(tokens[at], "sound", 2) <= 2 and edits(tokens[at + 1], "system", 2) <= 2:
+        if tokens[at][0] == "s" == tokens[at + 1][0] and edits(tokens[at], "sound", 2) <= 2 and edits(tokens[at + 1], "system", 2) <= 2:
             tokens[at : at + 2] = ["soundsystem"]
             break
     if len(tokens) == 2 and LOST in t:  # a lost blank
@@ -124,6 +125,15 @@ def grams(kind: str, first: str, middle: str, last: str) -> list[str]:
     return out
 
 
+def letters(text: str) -> int:
+    """The set of characters of a text as bits: texts within k edits differ in at most 2 k of them."""
+    bits = 0
+    for c in text:
+        o = ord(c) - 97
+        bits |= 1 << (o if 0 <= o < 26 else 26 + o % 6)
+    return bits
+
+
 def _slots(found: list[str]) -> np.ndarray:
     import zlib
 
@@ -278,14 +288,18 @@ def link(names: DataFrame, join_at: float = JOIN_AT, link_at: float = LINK_AT) -
         w = shared.value
         for pdf in batches:
             found = [w.prefix(join_at, *n) for n in zip(pdf["kind"], pdf["first"], pdf["middle"], pdf["last"])]
+            pdf = pdf.assign(mask=pdf["last"].map(letters), whole=(pdf["first"] + pdf["middle"] + pdf["last"]).map(letters))
             out = pdf.loc[np.repeat(np.arange(len(pdf)), [len(f) for f in found])]
             yield out.assign(slot=np.concatenate(found).astype("int32") if found else np.empty(0, "int32"))
 
     columns = ["node", "kind", "first", "middle", "last", "root", "bag"]
-    kinds = "node bigint, kind string, first string, middle string, last string, root string, bag array<string>, slot int"
-    posted = spread(rooted.select(*columns), "node").mapInPandas(index, kinds)
-    side = lambda p: posted.select("slot", *[F.col(c).alias(p + c) for c in columns])
-    pairs = side("a_").join(side("b_"), "slot").where((F.col("a_node") < F.col("b_node")) & same_name("a_", "b_"))
+    kinds = "node bigint, kind string, first string, middle string, last string, root string, bag array<string>, mask bigint, whole bigint, slot int"
+    posted = spread(rooted.select(*columns), "node").mapInPandas(index, kinds)  # with the bits of the letters
+    side = lambda p: posted.select("slot", F.col("kind"), *[F.col(c).alias(p + c) for c in [*columns, "mask", "whole"]])
+    apart = lambda c: F.bit_count(F.col("a_" + c).bitwiseXOR(F.col("b_" + c)))
+    # a cheap test first, which no two parts within the edits that same_name allows can fail
+    may = (F.col("a_node") < F.col("b_node")) & ((apart("mask") <= 4) | (apart("whole") <= 2))
+    pairs = side("a_").join(side("b_"), ["slot", "kind"]).where(may & same_name("a_", "b_"))
     edges = stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "links")
     parts = components(edges, nodes)
 
