@@ -72,14 +72,23 @@ def contributors(spark, sf_dir):
     return d.select("row_id", F.array_join(web.contributors(rel, ["composer", "writer"]), "; ").alias("names"))
 
 
-def release_positions(spark, sf_dir):
-    d = _report(spark, sf_dir).where("title RLIKE '^[A-Za-z ]+$'")
+def _release_positions(d):
     track = lambda n, t: F.struct(n.alias("number"), t.alias("title"))
     tracks = F.array(track(F.lit("1"), F.lit("other one")), track(F.col("track_number"), F.upper("title")))
     release = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("position"), F.slice(tracks, 1, 1).alias("tracks")), F.struct(F.lit(2).alias("position"), tracks.alias("tracks"))).alias("media")))
     return d.select("row_id", web.release_position(release, F.col("title")).alias("p")).select("row_id", "p.track", "p.disc")
 
 
+def release_positions(spark, sf_dir):
+    """R-07 on the plain titles, which its SQL is written for."""
+    return _release_positions(_report(spark, sf_dir).where("title RLIKE '^[A-Za-z ]+$'"))
+
+
+def release_positions_whole(spark, sf_dir):
+    """R-07 on every title."""
+    return _release_positions(_report(spark, sf_dir))
+
+
 def front_covers(spark, sf_dir):
     d = _report(spark, sf_dir)
     images = F.array(F.struct(F.lit(False).alias("front"), F.lit("first").alias("url")), F.struct((F.col("row_id") % 2 == 0).alias("front"), F.lit("second").alias("url")))
@@ -93,12 +102,21 @@ def redirects(spark, sf_dir):
     return web.distinct_urls(e, "album", 3)
 
 
+def _written(spark, sf_dir, name):
+    return table(spark, sf_dir, name).select(F.col("row_id").alias("path"), F.lit("artist").alias("field"), F.col("artist").alias("value"))
+
+
 def written_differs(spark, sf_dir):
-    a = _report(spark, sf_dir).select(F.col("row_id").alias("path"), F.lit("artist").alias("field"), F.col("artist").alias("value"))
-    b = table(spark, sf_dir, "smoke_final_no_blanks").select(F.col("row_id").alias("path"), F.lit("artist").alias("field"), F.col("artist").alias("value"))
+    """P-07 on the plain artist names, which its SQL is written for; a row that is plain on one side only counts as different."""
+    a, b = _written(spark, sf_dir, "smoke_final_completed"), _written(spark, sf_dir, "smoke_final_no_blanks")
     return votes.written_differs(a.where("value RLIKE '^[A-Za-z ]+$'"), b.where("value RLIKE '^[A-Za-z ]+$'")).select("path")
 
 
+def written_differs_whole(spark, sf_dir):
+    """P-07 on every artist name of both tables."""
+    return votes.written_differs(_written(spark, sf_dir, "smoke_final_completed"), _written(spark, sf_dir, "smoke_final_no_blanks")).select("path")
+
+
 def identity_changed(spark, sf_dir):
     a = _report(spark, sf_dir).select(F.col("row_id").alias("path"), F.create_map(F.lit("artist"), F.coalesce("artist", F.lit(""))).alias("tags"))
     b = _report(spark, sf_dir).select(F.col("row_id").alias("path"), F.create_map(F.lit("artist"), F.coalesce("album_artist", F.lit(""))).alias("fields"))
@@ -107,7 +125,7 @@ def identity_changed(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     flags, dash_pairs, safe_names, vote_keys, musical_keys, usable_tags, label_specs, search_queries, content_keys, payload_fields, contributors, release_positions, front_covers, redirects,
-    written_differs, identity_changed,
+    written_differs, identity_changed, release_positions_whole, written_differs_whole,
 )}
 
 _SQUEEZE = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{a0}}\x{{85}}]+', ' ', 'g'))"
