@@ -42,7 +42,7 @@ SLOTS = 1 << 20
 GRAM = 4
 #: Added to document counts, so that an n-gram that only a typing error made weighs little more than the others of its name.
 SMOOTH = 50
-#: Least cosine of two spellings that the join finds, and least average cosine within an entity.
+#: Cosine from which the join's prefixes miss no pair (it sizes them and rejects nothing), and least average cosine within an entity.
 JOIN_AT, LINK_AT = 0.5, 0.3
 
 
@@ -268,10 +268,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def link(names: DataFrame, join_at: float = JOIN_AT, link_at: float = LINK_AT) -> DataFrame:
     """``(name, entity)`` for every distinct string of ``names(name)`` that names somebody.
 
-    Spellings are brought to name parts and weighted vectors of character n-grams. Pairs with a cosine of ``join_at`` or
-    more come from an inverted index over each vector's rarest n-grams, which no such pair escapes; the join itself rejects
-    pairs whose parts contradict each other, so that only links leave it. Linked spellings are grouped by average linkage of
-    their cosines within each connected component. Null, blank and placeholder strings and ``Various Artists`` are left
+    Spellings are brought to name parts and weighted vectors of character n-grams. Candidates come from an inverted index
+    over each vector's rarest n-grams, which no pair with a cosine of ``join_at`` or more escapes. A candidate is a link if
+    its parts do not contradict each other (same_name); its cosine is not compared with ``join_at``, so a pair below that is
+    a link too if the two happen to share a rare n-gram. Linked spellings are grouped by average linkage of their cosines
+    within each connected component, of two spellings as of more. Null, blank and placeholder strings and ``Various Artists`` are left
     out, repeated strings count once, an empty table gives an empty one. Only the n-gram frequencies, hashed to an array
     of fixed size, come to the driver.
     """
@@ -304,8 +305,6 @@ def link(names: DataFrame, join_at: float = JOIN_AT, link_at: float = LINK_AT) -
     parts = components(edges, nodes)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 3:
-            return pdf[["node"]].assign(entity=pdf["node"].min())
         w = shared.value
         vectors = [dict(zip(*w.vector(*n))) for n in zip(pdf["kind"], pdf["first"], pdf["middle"], pdf["last"])]
         s = np.array([[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in vectors] for a in vectors])
