@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonarium.llm import garbled, names, packing, spans, survivors, tokens, vocabulary
+from sonarium.schema import FINAL_COLUMNS
 from sonarium.session import stored, table
 
-
-FIELDS = ["filename", "title", "artist", "album", "album_artist", "year", "date", "genre", "subgenre", "moods", "key", "language", "instruments", "themes", "composer", "label", "isrc", "bpm"]
+#: Every column of the report; those that state something about a whole row have rules of their own in merged_records.
+FIELDS = list(FINAL_COLUMNS)
 
 
 def _recordings(spark, sf_dir):

@@ -101,14 +101,40 @@ def merged_records(df: DataFrame, recs: DataFrame, scores: DataFrame, fields: li
 
     For each field the maximum of a composite struct (has a value, found rather than filled in, quality, time, value) in a
     single aggregation; a field that no row has is null. Rows without a recording stay records of their own.
+
+    Four columns are about other columns or the whole row, if ``fields`` names them: ``quality_score`` is the highest that
+    is a score, the latest on ties; ``sources`` has for each surviving field what the row it came from says of it;
+    ``validation_status`` is that of the row that best_rows would choose, and ``missing_tags`` what that row misses and
+    the record still lacks, or ``none``.
     """
+    special = [f for f in ("quality_score", "sources", "validation_status", "missing_tags") if f in fields]
+    plain = [f for f in fields if f not in special]
     d = ranked(df, scores).join(recs, "row_id", "left").withColumn("given", F.from_json("sources", "map<string,string>"))
     d = d.withColumn("recording", F.coalesce(F.to_json("recording"), F.concat(F.lit("#"), F.col("row_id").cast("string"))))
 
     def best(field: str) -> Column:
         has = F.col(field).isNotNull() & ~F.lower(F.trim(field)).isin(*MISSING)
         trusted = F.coalesce(F.try_element_at("given", F.lit(field)) != FILLED, F.lit(False))
-        choice = F.struct(has.alias("has"), trusted.alias("trusted"), F.col("quality"), F.col("processed_at"), F.when(has, F.col(field)).alias("value"))
-        return F.max(choice)["value"].alias(field)
-
-    return d.groupBy("recording").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n_rows"), *[best(f) for f in fields]).drop("recording")
+        source = F.when(has, F.try_element_at("given", F.lit(field)))
+        choice = F.struct(has.alias("has"), trusted.alias("trusted"), F.col("quality"), F.col("processed_at"), F.when(has, F.col(field)).alias("value"), source.alias("source"))
+        return F.max(choice).alias(field)
+
+    made = [best(f) for f in plain]
+    if "quality_score" in special:
+        score = score_value(F.col("quality_score"))
+        made.append(F.max(F.when(score.isNotNull(), F.struct(score.alias("s"), F.col("processed_at"), F.col("quality_score").alias("value"))))["value"].alias("quality_score"))
+    stated = [f for f in ("validation_status", "missing_tags") if f in special]
+    made.append(F.max(F.struct("quality", "found", "processed_at", (-F.col("row_id")).alias("minus"), *stated)).alias("_row"))
+    d = d.groupBy("recording").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n_rows"), *made)
+    out = {f: F.col(f)["value"] for f in plain} | {"quality_score": F.col("quality_score"), "validation_status": F.col("_row.validation_status")}
+    if "sources" in special:
+        said = F.map_from_arrays(F.array(*[F.lit(f) for f in plain]), F.array(*[F.col(f)["source"] for f in plain]))
+        out["sources"] = F.to_json(F.map_filter(said, lambda _, v: v.isNotNull()))
+    if "missing_tags" in special:
+        there = [F.when(F.col(f)["value"].isNotNull(), F.lit(f)) for f in plain if f != "has_cover_art"]
+        if "has_cover_art" in plain:
+            there.append(F.when(F.col("has_cover_art")["value"] == "yes", F.lit("cover_art")))
+        listed = F.filter(F.transform(F.split(F.coalesce("_row.missing_tags", F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin(*MISSING))
+        gone = F.array_except(listed, F.array(*there))
+        out["missing_tags"] = F.when(F.size(gone) > 0, F.array_join(gone, "; ")).otherwise("none")
+    return d.select("first_row_id", "n_rows", *[out[f].alias(f) for f in fields])
