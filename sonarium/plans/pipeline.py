@@ -6,23 +6,24 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from sonarium.operators import votes
+from sonarium.operators import state, votes
 from sonarium.plans.fusion import RULES
-from sonarium.schema import REQUIRED
+from sonarium.schema import REQUIRED, TAG_FIELDS
 from sonarium.session import shared_dir, table
 from sonarium.sources import files, providers
 from sonarium.streaming import jobs
 
 
 def _media(spark, sf_dir):
+    """Every tag field that the report table holds, as the tags of its files."""
     d = table(spark, sf_dir, "smoke_final_completed")
-    fields = ("title", "artist", "album", "genre", "year", "bpm")
+    fields = [f for f in TAG_FIELDS if f in d.columns]
     tags = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.coalesce(f, F.lit("")) for f in fields])), lambda _, v: ~F.lower(F.trim(v)).isin("", "n/a", "-", "unknown", "needs_review"))
-    return d.select(F.concat("file_path", F.lit("#"), F.col("row_id").cast("string")).alias("path"), tags.alias("tags"), (F.col("has_cover_art") == "yes").alias("has_cover_art"))
+    return d.select(F.concat("file_path", F.lit("#"), F.col("row_id").cast("string")).alias("path"), tags.alias("tags"), (F.col("has_cover_art") == "yes").alias("has_cover_art"), "file_path")
 
 
 def _merged(spark, sf_dir):
-    media = _media(spark, sf_dir)
+    media = _media(spark, sf_dir).drop("file_path")
     own = [providers.Provider("local_cleanup", "free", providers.local_cleanup), providers.Provider("rules_inference", "web", providers.rules_provider(RULES))]
     evidence = providers.collect_evidence(media, own, ["title", "artist", "mood"])
     weights = spark.createDataFrame([("local_cleanup", 0.8), ("rules_inference", 0.9)], "provider string, weight double")
@@ -40,7 +41,11 @@ def enrich_merged(spark, sf_dir):
 
 
 def export_tags(spark, sf_dir):
-    m = _media(spark, sf_dir).withColumns({c: F.lit(None).cast("int") for c in ("size_bytes", "duration_seconds", "bitrate")})
+    """K-05 with size, duration and bitrate from the last scan of each file."""
+    facts = ("size_bytes", "duration_seconds", "bitrate")
+    scans = table(spark, sf_dir, "media_inventory").select(F.col("path").alias("file_path"), *facts, "scanned_at", "scan_id")
+    last = state.last_wins(scans, ["file_path"], ["scanned_at", "scan_id"]).select("file_path", *facts)
+    m = _media(spark, sf_dir).join(last, "file_path", "left")
     return files.export_rows(m)
 
 
