@@ -56,12 +56,19 @@ def with_points(df: DataFrame, out: str = "_points") -> DataFrame:
     return held(d, **{out: points(**rules)}).drop(*KEYS, *[f"_ok_{c}" for c in names])
 
 
-def portal_rows(df: DataFrame, album: str = "Single", label: str = "Unspecified") -> DataFrame:
-    """R-02, C-11, C-13, C-18: report rows as the 14 portal columns, with ``seq`` for their order; album and label are fixed for all rows."""
+def portal_rows(df: DataFrame, album: str = "Single", label: str = "Unspecified", facts: DataFrame | None = None) -> DataFrame:
+    """R-02, C-11, C-13, and C-18 for time: report rows as the 14 portal columns, with ``seq`` for their order; album and label are fixed for all rows.
+
+    ``facts(path, duration_seconds)`` has one row a file at most; a row whose file is not there, or was not measured, has time 00:00:00.
+    """
+    if facts is None:
+        df = df.withColumn("_seconds", F.lit(None).cast("int"))
+    else:
+        df = df.join(facts.select(F.col("path").alias("file_path"), F.col("duration_seconds").alias("_seconds")), "file_path", "left")
     tags = F.flatten(F.array(*[split_values(F.col(c)) for c in TAG_SOURCES]))
     d = df.select(
         F.col("row_id").alias("seq"), lyrics_marked(squeeze(F.col("title")), F.col("filename")).alias("title"), F.lit(album).alias("album"), squeeze(F.col("artist")).alias("artist"),
-        F.lit("00:00:00").alias("time"), first_of(F.get(split_values(F.col("genre")), F.lit(0))).alias("genre"), F.coalesce(tempo(F.col("bpm")).cast("string"), F.lit("")).alias("tempo"),
+        clock(F.coalesce("_seconds", F.lit(0))).alias("time"), first_of(F.get(split_values(F.col("genre")), F.lit(0))).alias("genre"), F.coalesce(tempo(F.col("bpm")).cast("string"), F.lit("")).alias("tempo"),
         F.col("filename"), F.regexp_extract(F.coalesce("year", "date", F.lit("")), r"((?:19|20)\d{2})", 1).alias("year"), squeeze(F.col("language")).alias("language"), F.lit("0").alias("isDL"),
         F.lit(label).alias("label"), flag(F.col("vocals"), "vocal|choir|voice", "0").alias("vocal"), flag(F.col("vocals"), "instrumental", "0").alias("instrumental"), tags.alias("_tags"),
     )
@@ -84,10 +91,10 @@ def identity(df: DataFrame) -> Column:
     return F.struct(key_value(F.col("title")).alias("t"), key_value(F.col("artist")).alias("a"), key_value(F.col("genre")).alias("g"), tags.alias("tags"))
 
 
-def convert(df: DataFrame, strict: bool = True) -> DataFrame:
+def convert(df: DataFrame, strict: bool = True, facts: DataFrame | None = None) -> DataFrame:
     """Report rows to portal rows: the best row of each file name (earliest on ties), the first genre of a song for all its rows,
     one row an identity, and then, if ``strict``, only valid ones. A row that is dropped as invalid still suppresses its twins."""
-    d = portal_rows(df)
+    d = portal_rows(df, facts=facts)
     d = with_points(held(d, _key=key_filename(F.col("filename"))))
     best = d.where(F.col("_key") != "").groupBy("_key").agg(F.min("seq").alias("_group"), F.max(F.struct("_points", (-F.col("seq")).alias("o"), *[c for c in d.columns if c[0] != "_" and c != "seq"])).alias("b"))
     d = best.select(F.col("_group").alias("seq"), *[F.col(f"b.{c}").alias(c) for c in d.columns if c[0] != "_" and c != "seq"])

@@ -95,17 +95,23 @@ def split_groups(spark, sf_dir):
     return d.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _facts(spark, sf_dir):
+    """The duration of each file by its last scan."""
+    d = _t(spark, sf_dir, "media_inventory").select("path", "duration_seconds", "scanned_at", "scan_id")
+    return state.last_wins(d, ["path"], ["scanned_at", "scan_id"]).select("path", "duration_seconds")
+
+
 def portal_convert(spark, sf_dir):
-    return records.convert(_t(spark, sf_dir, "smoke_final_completed"))
+    return records.convert(_t(spark, sf_dir, "smoke_final_completed"), facts=_facts(spark, sf_dir))
 
 
 def portal_counters(spark, sf_dir):
     d = _t(spark, sf_dir, "smoke_final_completed")
-    return records.converter_counters(d, records.convert(d))
+    return records.converter_counters(d, records.convert(d, facts=_facts(spark, sf_dir)))
 
 
 def portal_issues(spark, sf_dir):
-    d = records.portal_rows(_t(spark, sf_dir, "smoke_final_completed"))
+    d = records.portal_rows(_t(spark, sf_dir, "smoke_final_completed"), facts=_facts(spark, sf_dir))
     return d.select(F.explode(records.portal_issues(d)).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
