@@ -15,7 +15,7 @@ DOMAINS = ["discogs.com", "musicbrainz.org", "example.org"]
 
 def _pages(spark, sf_dir):
     """Pages made from report rows: a stand-in for fetched ones."""
-    d = table(spark, sf_dir, "smoke_final_completed").where("row_id <= 1000000000")
+    d = table(spark, sf_dir, "smoke_final_completed")
     html = F.lit(PAGE.replace("{{", "{").replace("}}", "}"))
     for mark, c in (("{t}", "title"), ("{a}", "artist"), ("{g}", "genre"), ("{d}", "date"), ("{l}", "label")):
         html = F.replace(html, F.lit(mark), F.regexp_replace(F.coalesce(c, F.lit("")), r'["<>&\\\n\t]', " "))
@@ -69,6 +69,13 @@ def zero_shot_top3(spark, sf_dir):
     return labels.zero_shot(items, vectors, 3).select("item", "label", "rank")
 
 
+def zero_shot_centroids(spark, sf_dir):
+    """A-13, M-08, T-10: every embedding against the mean vectors of all labels."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    means = labels.pooled(e.where("label IS NOT NULL"), "label", "vector")
+    return labels.zero_shot(e.select(F.col("vec_id").alias("item"), "vector"), means, 3).select("item", "label", "rank")
+
+
 def centroids(spark, sf_dir):
     """A-13: mean vectors per label."""
     d = labels.pooled(table(spark, sf_dir, "embeddings").where("label IS NOT NULL"), "label", "embedding")
@@ -107,7 +114,7 @@ def new_files(spark, sf_dir):
 
 def free_names(spark, sf_dir):
     d = table(spark, sf_dir, "smoke_final_completed").select(F.col("row_id").alias("seq"), F.lit("in").alias("folder"), F.col("filename").alias("target"))
-    taken = table(spark, sf_dir, "smoke_final_no_blanks").where("row_id % 10 = 0").select(F.lit("in").alias("folder"), F.col("filename").alias("target"))
+    taken = table(spark, sf_dir, "smoke_final_no_blanks").select(F.lit("in").alias("folder"), F.col("filename").alias("target"))
     return intake.free_names(d, taken).select("seq", "target")
 
 
@@ -117,6 +124,7 @@ def find_media(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_fields, allowed_domains, domain_consensus, best_artist, tags_payload, label_fields, zero_shot_top3, centroids, prompt_best, marker_language, media_scan, generic_names, new_files, free_names, find_media,
+    zero_shot_centroids,
 )}
 
 _PLAIN = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
