@@ -10,6 +10,13 @@ from sonarium.session import table
 
 PAGE = '<html><head><meta property="og:title" content="{t}"><script type="application/ld+json">{{"name": "{t}", "byArtist": {{"name": "{a}"}}, "genre": "{g}"}}</script></head><body><table><tr><th>Release date</th><td>{d}</td></tr></table><dl><dt>Record label</dt><dd>{l}</dd></dl></body></html>'
 LABELS = {"date": ["release date", "released"], "label": ["label"], "genre": ["genre"]}
+# The suffixes of media files, and the words that tell three languages apart.
+MEDIA_SUFFIXES = [".mp3", ".mp4", ".m4a", ".aac", ".flac", ".wav", ".wma", ".ogg"]
+MARKERS = {
+    "da": "arbejdsplads behøver dæmoner dig græder hvad jer kærlighed køre kvinde ligesom mænd mig nogen noget sådan smukkest stadig tænker uden",
+    "no": "arbeidsplass deg dere fortsatt gråter hva kjærlighet kjøre kvinne liksom meg menn noe noen sånn tenker uten våre",
+    "sv": "aldrig att dig eftersom från inte jag kvinna men mig någon något och ska tänker utan",
+}
 DOMAINS = ["discogs.com", "musicbrainz.org", "example.org"]
 
 
@@ -89,17 +96,32 @@ def prompt_best(spark, sf_dir):
 
 
 def marker_language(spark, sf_dir):
-    """A-16: words of each of three languages in every text; the most counts, if it is alone."""
+    """A-16: how many of five words of each of three languages every text has, as its SQL states."""
     words = {"da": ["og", "ikke", "der", "af", "til"], "no": ["og", "ikke", "av", "til", "jeg"], "sv": ["och", "inte", "av", "till", "jag"]}
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(text.key_plain(F.coalesce("text", F.lit(""))), " ")).alias("t"))
     return d.select("doc_id", *[F.size(F.array_intersect("t", F.array(*[F.lit(w) for w in ws]))).alias(c) for c, ws in words.items()])
 
 
+def marker_language_whole(spark, sf_dir):
+    """A-16 with the reference's words, accents kept: the counts, and the language that has most, if it is alone."""
+    t = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-zà-ÿ]+)"), F.lit(1)))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    d = d.select("doc_id", *[F.size(F.array_intersect("t", F.array(*[F.lit(w) for w in ws.split()]))).alias(c) for c, ws in MARKERS.items()])
+    alone = lambda c: F.greatest(*[F.col(x) for x in MARKERS if x != c]) < F.col(c)
+    return d.withColumn("language", F.coalesce(*[F.when(alone(c), c) for c in MARKERS], F.lit("")))
+
+
 def media_scan(spark, sf_dir):
     d = table(spark, sf_dir, "media_inventory").select(F.lit("all").alias("root"), "path").distinct()
     return intake.media_files(d, [".mp3", ".wav"], ("_loop",)).select("path")
 
 
+def media_scan_whole(spark, sf_dir):
+    """S-01 with the suffixes of the reference's default."""
+    d = table(spark, sf_dir, "media_inventory").select(F.lit("all").alias("root"), "path").distinct()
+    return intake.media_files(d, MEDIA_SUFFIXES, ("_loop",)).select("path")
+
+
 def generic_names(spark, sf_dir):
     d = table(spark, sf_dir, "media_inventory").select("path").distinct()
     p = text.path_parts(F.col("path"))
@@ -124,7 +146,7 @@ def find_media(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_fields, allowed_domains, domain_consensus, best_artist, tags_payload, label_fields, zero_shot_top3, centroids, prompt_best, marker_language, media_scan, generic_names, new_files, free_names, find_media,
-    zero_shot_centroids,
+    zero_shot_centroids, marker_language_whole, media_scan_whole,
 )}
 
 _PLAIN = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"

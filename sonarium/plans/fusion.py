@@ -77,6 +77,13 @@ def candidate_top1(spark, sf_dir):
     return matching.best_candidates(scored.select("l_id", "seq", "title_score", "artist_score"), "l_id").select("l_id", "seq", F.round("score", 6).alias("score"))
 
 
+def match_reports(spark, sf_dir):
+    """J-05, P-12, T-01: for each report row the most similar plausible row of the other report, by title and artist."""
+    left, right = (table(spark, sf_dir, n).select("row_id", "title", "artist") for n in ("smoke_final_completed", "smoke_final_no_blanks"))
+    m = matching.match_blocked(left, right, "row_id", "row_id", "title", "artist")
+    return m.select(F.col("l_row_id").alias("row_id"), F.col("r_row_id").alias("match_id"), F.round("score", 6).alias("score"))
+
+
 def similarity_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "smoke_final_completed").select("row_id", "artist", "album_artist")
     return matching.with_similarity(d, "artist", "album_artist", "s").select("row_id", F.round("s", 6).alias("s"))
@@ -111,7 +118,7 @@ def completion_cascade(spark, sf_dir):
 
 QUERIES = {
     "vote_merge": vote_merge, "vote_conflicts": vote_conflicts, "vote_report_sources": vote_report_sources, "missing_required": missing_required, "provider_overlay": provider_overlay,
-    "canonical_keys": canonical_keys, "title_pairs": title_pairs, "candidate_pairs": candidate_pairs, "candidate_top1": candidate_top1, "similarity_pairs": similarity_pairs,
+    "canonical_keys": canonical_keys, "title_pairs": title_pairs, "candidate_pairs": candidate_pairs, "candidate_top1": candidate_top1, "similarity_pairs": similarity_pairs, "match_reports": match_reports,
     "catalog_lookup": catalog_lookup, "catalog_lists": catalog_lists, "keyword_rules": keyword_rules, "completion_cascade": completion_cascade,
 }
 
