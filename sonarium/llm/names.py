@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+import zlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.llm.garbled import LOST, Statistics, no_statistics, repair
@@ -23,27 +27,16 @@ SHORT_FORMS = {
 }
 # Letters without a decomposition.
 PLAIN = str.maketrans({"ø": "o", "đ": "d", "ð": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ı": "i"})
-# Short names and the first names they stand for; others are learned from the data (nicknames).
-SHORT_NAMES = {
-    "alec": "alexander", "alex": "alexander", "sandy": "alexander", "sasha": "alexander", "anna": "anneliese", "anne": "anneliese", "liesl": "anneliese", "lise": "anneliese",
-    "nella": "antonella", "toni": "antonella", "ben": "benjamin", "benji": "benjamin", "benny": "benjamin", "charlie": "charles", "chuck": "charles", "chris": "christopher",
-    "kit": "christopher", "topher": "christopher", "dima": "dmitriy", "mitya": "dmitriy", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward", "beth": "elizabeth",
-    "betty": "elizabeth", "liz": "elizabeth", "lizzy": "elizabeth", "curro": "francisco", "fran": "francisco", "pancho": "francisco", "paco": "francisco", "fanchon": "francoise",
-    "fred": "frederik", "freddy": "frederik", "gabi": "gabriela", "gaby": "gabriela", "beppe": "giuseppe", "peppe": "giuseppe", "pino": "giuseppe", "lupe": "guadalupe",
-    "lupita": "guadalupe", "hannes": "johannes", "hans": "johannes", "jo": "johannes", "jon": "jonathan", "jonny": "jonathan", "pepe": "jose", "kate": "katherine", "kathy": "katherine",
-    "katie": "katherine", "kitty": "katherine", "len": "leonard", "lenny": "leonard", "leo": "leonard", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "max": "maximilian",
-    "maxi": "maximilian", "mick": "michael", "mike": "michael", "nik": "nikolaj", "niko": "nikolaj", "klaus": "nikolaj", "pat": "patricia", "patty": "patricia", "tricia": "patricia",
-    "trish": "patricia", "dick": "richard", "rich": "richard", "rick": "richard", "ricky": "richard", "bob": "robert", "bobby": "robert", "rob": "robert", "sam": "samantha",
-    "sammy": "samantha", "basti": "sebastian", "bastian": "sebastian", "seb": "sebastian", "sigga": "sigridur", "sue": "susannah", "susie": "susannah", "dora": "theodora",
-    "tea": "theodora", "thea": "theodora", "tom": "thomas", "tommy": "thomas", "tori": "victoria", "vicky": "victoria", "bill": "william", "billy": "william", "will": "william",
-    "katia": "yekaterina", "katya": "yekaterina",
-}
 SLOTS = 1 << 20
 GRAM = 4
 #: Added to document counts, so that an n-gram that only a typing error made weighs little more than the others of its name.
 SMOOTH = 50
-#: Cosine from which the join's prefixes miss no pair (it sizes them and rejects nothing), and least average cosine within an entity.
-JOIN_AT, LINK_AT = 0.5, 0.3
+#: Least cosine of a link, and least average cosine within an entity.
+JOIN_AT, LINK_AT = 0.4, 0.3
+#: Postings of an n-gram that are compared in one group; a more frequent n-gram is split into blocks of that size, pairs of blocks being groups of their own.
+BLOCK = 2_000
+#: Pairs of postings looked at in one step, which bounds the memory of a task.
+STEP = 1 << 20
 
 
 def fold(text: str) -> str:
@@ -135,8 +128,6 @@ def letters(text: str) -> int:
 
 
 def _slots(found: list[str]) -> np.ndarray:
-    import zlib
-
     return np.fromiter((zlib.crc32(g.encode()) % SLOTS for g in found), np.int64, len(found))
 
 
@@ -147,34 +138,60 @@ class Weights:
         self.idf = (1 + np.log((n + SMOOTH) / (counts + SMOOTH))).astype(np.float32)
 
     def vector(self, *name) -> tuple[np.ndarray, np.ndarray]:
-        """Slots, rarest first, and their share of a unit vector."""
+        """Slots in one order for all names, rarest first, and their share of a unit vector."""
         s, times = np.unique(_slots(grams(*name)), return_counts=True)
         w = self.idf[s] * times
-        order = np.argsort(-w, kind="stable")
+        order = np.argsort(-self.idf[s], kind="stable")
         return s[order], w[order] / np.sqrt((w**2).sum())
 
+    def rests(self, w: np.ndarray) -> np.ndarray:
+        """The length of what follows each place of a unit vector."""
+        return np.sqrt(np.maximum(0, 1 - np.cumsum(w.astype(float) ** 2)))
+
     def prefix(self, least: float, *name) -> np.ndarray:
         """The rarest slots such that what is left cannot reach a cosine of ``least``: vectors that near share one of them."""
         s, w = self.vector(*name)
-        rest = np.sqrt(np.maximum(0, 1 - np.cumsum(w**2)))
-        return s[: int(np.argmax(rest < least)) + 1]
-
-
-def average_linkage(n: int, similarity: np.ndarray, least: float) -> np.ndarray:
-    """Cluster labels of ``n`` items: the two clusters of highest average similarity join while that is at least ``least``."""
-    s = similarity.astype(float).copy()
-    np.fill_diagonal(s, -np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - 1):
-        i, j = divmod(int(np.argmax(s)), n)
-        if s[i, j] < least:
+        return s[: int(np.argmax(self.rests(w) < least)) + 1]
+
+
+def average_linkage(vectors: list[dict[int, float]], links: list[tuple[int, int]], least: float) -> list[int]:
+    """Cluster labels of linked vectors: the two linked clusters of highest average cosine join while that is at least ``least``.
+
+    The average over all pairs of two clusters, linked or not, is the product of their summed vectors over the number of
+    pairs, so memory and work follow the number of links and not the square of the items.
+    """
+    label, size, total = list(range(len(vectors))), [1] * len(vectors), [dict(v) for v in vectors]
+    near: list[set[int]] = [set() for _ in vectors]
+    members = [[i] for i in range(len(vectors))]
+
+    def average(i: int, j: int) -> float:
+        a, b = (total[i], total[j]) if len(total[i]) < len(total[j]) else (total[j], total[i])
+        return sum(v * b.get(k, 0.0) for k, v in a.items()) / (size[i] * size[j])
+
+    for i, j in links:
+        near[i].add(j)
+        near[j].add(i)
+    heap = [(-average(i, j), i, j, 1, 1) for i in range(len(vectors)) for j in near[i] if i < j]
+    heapify(heap)
+    while heap:
+        minus, i, j, m, n = heappop(heap)
+        if -minus < least:
             break
-        row = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        s[i], s[:, i] = row, row
-        s[i, i] = -np.inf
-        s[j], s[:, j] = -np.inf, -np.inf
+        if label[i] != i or label[j] != j or (size[i], size[j]) != (m, n):
+            continue
+        for k, v in total[j].items():
+            total[i][k] = total[i].get(k, 0.0) + v
         size[i] += size[j]
-        label[label == j] = i
+        members[i] += members[j]
+        for x in members[j]:
+            label[x] = i
+        near[i] = (near[i] | near[j]) - {i, j}
+        for x in near[j] - {i}:
+            near[x].discard(j)
+            near[x].add(i)
+        near[j], total[j], members[j] = set(), {}, []
+        for x in near[i]:
+            heappush(heap, (-average(i, x), min(i, x), max(i, x), size[min(i, x)], size[max(i, x)]))
     return label
 
 
@@ -210,15 +227,26 @@ def _weights(nodes: DataFrame) -> Weights:
     return Weights(counts, int(found[found.slot < 0].n.sum()))
 
 
-def nicknames(nodes: DataFrame, least: int = 2) -> DataFrame:
-    """``(first, root)``: first names that stand with the same middle and last name as a more frequent one, for ``least`` persons or more."""
-    p = nodes.where((F.col("kind") == "person") & (F.length("first") > 1) & (F.length("middle") > 1))
+def nicknames(nodes: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+    """``(first, root)``: the first name that another one is short for, learned from the names alone.
+
+    In each group of persons with one last name and one initial of the middle name, every first name is paired with the
+    most frequent of the group, so the pairs are no more than the persons. It is short for the one it meets most, if that is
+    in ``least`` groups or more and in ``share`` of those in which it meets another name. Misspellings do not count.
+    """
+    p = nodes.where((F.col("kind") == "person") & (F.length("first") > 1) & (F.col("middle") != ""))
+    p = p.select("first", F.substring("middle", 1, 1).alias("m"), "last").distinct()
     often = p.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    sets = p.groupBy("middle", "last").agg(F.collect_set("first").alias("f")).where(F.size("f") > 1)
-    pairs = sets.select(F.explode("f").alias("first"), "f").select("first", F.explode("f").alias("root")).where((F.col("first") != F.col("root")) & (F.levenshtein("first", "root") > 2))
-    seen = pairs.groupBy("first", "root").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
-    ranked = seen.join(often, "first").join(often.select(F.col("first").alias("root"), F.col("n").alias("m")), "root").where(F.col("m") > F.col("n"))
-    return ranked.groupBy("first").agg(F.max(F.struct("k", "root")).alias("b")).select("first", F.col("b.root").alias("root"))
+    p = stored(p.join(often, "first"), "firsts")
+    top = p.groupBy("m", "last").agg(F.max(F.struct("n", "first"))["first"].alias("root"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    met = p.join(top, ["m", "last"]).where((F.col("first") != F.col("root")) & (F.levenshtein("first", "root") > 2))
+    seen = met.groupBy("first", "root").agg(F.count(F.lit(1)).alias("k"))
+    best = seen.groupBy("first").agg(F.max(F.struct("k", "root")).alias("b"), F.sum("k").alias("all"))
+    found = stored(best.where((F.col("b.k") >= least) & (F.col("b.k") >= share * F.col("all"))).select("first", F.col("b.root").alias("root")), "nicknames")
+    for _ in range(2):  # short for a name that is short itself
+        further = found.select(F.col("first").alias("root"), F.col("root").alias("far"))
+        found = found.join(further, "root", "left").select("first", F.coalesce("far", "root").alias("root"))
+    return found.where(F.col("first") != F.col("root"))
 
 
 def same_name(a: str, b: str) -> Column:
@@ -246,13 +274,13 @@ def same_name(a: str, b: str) -> Column:
     return (col(a, "kind") == col(b, "kind")) & F.when(col(a, "kind") == "person", person).otherwise(words)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, component)``: connected components of ``edges(a, b)``, by passing on the least label and halving paths.
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of the nodes of ``edges(a, b)``: connected components, by passing on the least label and halving paths.
 
     Each round is a join and an aggregate with partial sums on both sides; rounds are written to the shared folder.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = stored(nodes.select("node", F.col("node").alias("component")), "labels")
+    label = stored(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     while True:
         least = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
         new = label.join(least.withColumnRenamed("a", "node"), "node", "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("least"))
@@ -265,55 +293,163 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def link(names: DataFrame, join_at: float = JOIN_AT, link_at: float = LINK_AT) -> DataFrame:
+POSTING = "slot int, node bigint, kind bigint, mask bigint, whole bigint, w float, rest float, slots array<int>, weights array<float>"
+
+
+def postings(nodes: DataFrame, weights, least: float) -> DataFrame:
+    """The inverted index: a row for each of a name's rarest n-grams (Weights.prefix), with the weight there, the length of
+    the vector after it, the letters of the name as bits, and the whole vector."""
+
+    def run(batches):
+        w = weights.value
+        for batch in batches:
+            d = batch.to_pandas()
+            found = [w.vector(*n) for n in zip(d["kind"], d["first"], d["middle"], d["last"])]
+            if not found:
+                continue
+            rests = [w.rests(v) for _, v in found]
+            cut = np.array([int(np.argmax(r < least)) + 1 for r in rests])
+            long = np.array([len(s) for s, _ in found])
+            row = np.repeat(np.arange(len(d)), cut)
+            first = lambda arrays: np.concatenate([a[:c] for a, c in zip(arrays, cut)])
+            column = lambda values: pa.array(np.asarray(values, np.int64)[row])
+            offsets = np.concatenate([[0], np.cumsum(long[row])]).astype(np.int32)
+            whole = lambda arrays, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([arrays[i] for i in row]).astype(kind)))
+            slots, values = [s for s, _ in found], [v for _, v in found]
+            kinds = [zlib.crc32(k.encode()) for k in d["kind"]]
+            masks = [letters(x) for x in d["last"]], [letters(x) for x in d["first"] + d["middle"] + d["last"]]
+            columns = [
+                pa.array(first(slots).astype(np.int32)), column(d["node"]), column(kinds), column(masks[0]), column(masks[1]), pa.array(first(values).astype(np.float32)),
+                pa.array(first(rests).astype(np.float32)), whole(slots, np.int32), whole(values, np.float32),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POSTING.split(", ")])
+
+    return nodes.select("node", "kind", "first", "middle", "last").mapInArrow(run, POSTING)
+
+
+def _similar(rows: pa.Table, begin: np.ndarray, end: np.ndarray, least: float, edits_of_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and cosine of the pairs of ``rows`` within the groups ``[begin, end)`` of each row that have a cosine of ``least`` or more."""
+    node, kind, mask, whole, w, rest, part = (rows.column(c).to_numpy() for c in ("node", "kind", "mask", "whole", "w", "rest", "part"))
+    lists, values = rows.column("slots").combine_chunks(), rows.column("weights").combine_chunks().flatten().to_numpy()
+    slots, start = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    start -= start[0]
+    length = np.diff(start)
+    keys = np.repeat(np.arange(len(node)), length) * SLOTS + slots
+    order = np.argsort(keys)
+    sorted_keys, sorted_values = keys[order], values[order]
+    partners = end - np.arange(len(node)) - 1
+    found, at = [], 0
+    while at < len(node):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(partners[at:]), STEP)) + at)
+        n = partners[at:to]
+        a = np.repeat(np.arange(at, to), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        # what follows the first n-gram that two names share cannot add more than the product of the two lengths
+        ok = (w[a] * w[b] + rest[a] * rest[b] >= least - 1e-6) & (kind[a] == kind[b]) & (node[a] != node[b]) & ((part[a] != part[b]) | (part[a] < 0))
+        a, b = a[ok], b[ok]
+        # letters in which no two names that same_name accepts can differ
+        ok = (np.bitwise_count(mask[a] ^ mask[b]) <= 2 * edits_of_parts) | (np.bitwise_count(whole[a] ^ whole[b]) <= edits_of_parts)
+        a, b = a[ok], b[ok]
+        n = length[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        entry = np.repeat(start[a] - np.cumsum(n) + n, n) + np.arange(len(pair))
+        wanted = b[pair] * SLOTS + slots[entry]
+        place = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+        product = np.where(sorted_keys[place] == wanted, values[entry].astype(float) * sorted_values[place], 0.0)
+        cosine = np.bincount(pair, product, len(a)).astype(float)
+        ok = cosine >= least - 1e-6
+        found.append((np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok], cosine[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def cosine_pairs(posted: DataFrame, least: float, block: int = BLOCK, top_n: int | None = None) -> DataFrame:
+    """``(a, b, cosine)``, a < b, of the nodes of one kind with a cosine of ``least`` or more whose letters do not rule each other out.
+
+    ``posted`` is what postings gives for that threshold. Postings of an n-gram meet in one group; an n-gram with more than
+    ``block`` of them is split into blocks, and each pair of blocks is a group, so that no task holds more than two blocks.
+    ``top_n`` keeps the pairs that are among the most similar ones of either node; None, the exact setting, keeps all.
+    """
+    posted = stored(posted, "postings")
+    hot = posted.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("slot", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    d = posted.join(small(stored(hot, "hot"), SLOTS), "slot", "left")  # no more slots than SLOTS
+    d = d.withColumn("part", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), "parts")).cast("int"))
+    d = d.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    d = d.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    d = d.withColumn("part", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("part"))).drop("parts", "other")
+    d = spread(d, "slot", "low", "high").sortWithinPartitions("slot", "low", "high")
+
+    def run(batches):
+        kept = None
+        for batch in itertools.chain(batches, [None]):
+            rows = kept if batch is None else pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            if rows is None or not rows.num_rows:
+                continue
+            group = np.stack([rows.column(c).to_numpy() for c in ("slot", "low", "high")])
+            first = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+            whole = rows.num_rows if batch is None else int(first[-1])  # the last group may go on
+            kept = rows.slice(whole)
+            if not whole:
+                continue
+            first = first[first < whole]
+            sizes = np.diff(np.append(first, whole))
+            a, b, c = _similar(rows.slice(0, whole).combine_chunks(), np.repeat(first, sizes), np.repeat(first + sizes, sizes), least, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+
+    found = d.select("slot", "low", "high", "part", "node", "kind", "mask", "whole", "w", "rest", "slots", "weights").mapInArrow(run, "a bigint, b bigint, cosine double")
+    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    if top_n is None:
+        return found
+    both = found.withColumn("node", F.explode(F.array("a", "b"))).withColumn("other", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= top_n)
+    return best.select("a", "b", "cosine").distinct()
+
+
+def link(names: DataFrame, join_at: float = JOIN_AT, link_at: float = LINK_AT, top_n: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(name, entity)`` for every distinct string of ``names(name)`` that names somebody.
 
-    Spellings are brought to name parts and weighted vectors of character n-grams. Candidates come from an inverted index
-    over each vector's rarest n-grams, which no pair with a cosine of ``join_at`` or more escapes. A candidate is a link if
-    its parts do not contradict each other (same_name); its cosine is not compared with ``join_at``, so a pair below that is
-    a link too if the two happen to share a rare n-gram. Linked spellings are grouped by average linkage of their cosines
-    within each connected component, of two spellings as of more. Null, blank and placeholder strings and ``Various Artists`` are left
-    out, repeated strings count once, an empty table gives an empty one. Only the n-gram frequencies, hashed to an array
-    of fixed size, come to the driver.
+    Spellings are brought to name parts and weighted vectors of character n-grams. A sparse cosine join over an inverted
+    index gives all pairs with a cosine of ``join_at`` or more (the ``top_n`` nearest of each, if that is given); those whose
+    parts contradict each other (same_name) are dropped, the rest are links. Linked spellings are grouped by average linkage
+    of their cosines. Null, blank and placeholder strings and ``Various Artists`` are left out, repeated strings count once,
+    an empty table gives an empty one. Only the n-gram frequencies, hashed to an array of fixed size, come to the driver.
     """
     spelled = stored(spellings(names), "spellings")
     nodes = spelled.groupBy("node").agg(*[F.min(c).alias(c) for c in ("kind", "first", "middle", "last")])
     nodes = stored(nodes, "nodes")
-    weights = _weights(nodes)
-    shared = nodes.sparkSession.sparkContext.broadcast(weights)
-    short = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in SHORT_NAMES.items()) + ")")
-    rooted = nodes.join(small(nicknames(nodes)), "first", "left").withColumn("root", F.coalesce(F.try_element_at(short, F.col("first")), "root", "first"))
+    shared = nodes.sparkSession.sparkContext.broadcast(_weights(nodes))
+    near = cosine_pairs(postings(spread(nodes, "node"), shared, join_at), join_at, block, top_n)
+    rooted = nodes.join(small(stored(nicknames(nodes), "roots")), "first", "left").withColumn("root", F.coalesce("root", "first"))
     rooted = rooted.withColumn("bag", F.filter(F.array_sort(F.array("first", "middle", "last")), lambda x: F.length(x) > 1))
-
-    def index(batches):
-        w = shared.value
-        for pdf in batches:
-            found = [w.prefix(join_at, *n) for n in zip(pdf["kind"], pdf["first"], pdf["middle"], pdf["last"])]
-            pdf = pdf.assign(mask=pdf["last"].map(letters), whole=(pdf["first"] + pdf["middle"] + pdf["last"]).map(letters))
-            out = pdf.loc[np.repeat(np.arange(len(pdf)), [len(f) for f in found])]
-            yield out.assign(slot=np.concatenate(found).astype("int32") if found else np.empty(0, "int32"))
-
-    columns = ["node", "kind", "first", "middle", "last", "root", "bag"]
-    kinds = "node bigint, kind string, first string, middle string, last string, root string, bag array<string>, mask bigint, whole bigint, slot int"
-    posted = spread(rooted.select(*columns), "node").mapInPandas(index, kinds)  # with the bits of the letters
-    side = lambda p: posted.select("slot", F.col("kind"), *[F.col(c).alias(p + c) for c in [*columns, "mask", "whole"]])
-    apart = lambda c: F.bit_count(F.col("a_" + c).bitwiseXOR(F.col("b_" + c)))
-    # a cheap test first, which no two parts within the edits that same_name allows can fail
-    may = (F.col("a_node") < F.col("b_node")) & ((apart("mask") <= 4) | (apart("whole") <= 2))
-    pairs = side("a_").join(side("b_"), ["slot", "kind"]).where(may & same_name("a_", "b_"))
-    edges = stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "links")
-    parts = components(edges, nodes)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = shared.value
-        vectors = [dict(zip(*w.vector(*n))) for n in zip(pdf["kind"], pdf["first"], pdf["middle"], pdf["last"])]
-        s = np.array([[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in vectors] for a in vectors])
-        label = average_linkage(len(pdf), s, link_at)
-        ids = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": ids, "entity": [ids[label == x].min() for x in label]})
-
-    linked = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    grouped = spread(parts.join(linked, "node").join(nodes, "node"), "component").groupBy("component").applyInPandas(cluster, "node bigint, entity bigint")
+    rooted = stored(rooted, "rooted")
+    side = lambda p: rooted.select(*[F.col(c).alias(p + c) for c in rooted.columns])
+    met = near.join(side("a_"), F.col("a") == F.col("a_node")).join(side("b_"), F.col("b") == F.col("b_node")).where(same_name("a_", "b_"))
+    named = [p + c for p in ("a_", "b_") for c in ("kind", "first", "middle", "last")]
+    edges = stored(met.select("a", "b", "cosine", *named), "links")
+    parts = components(edges)
+    linked = edges.join(parts.withColumnRenamed("node", "a"), "a")
+
+    def cluster(batches):
+        w, kept = shared.value, None
+        for d in itertools.chain(batches, [None]):
+            rows = kept if d is None else d if kept is None else pd.concat([kept, d], ignore_index=True)
+            if rows is None or rows.empty:
+                continue
+            last = None if d is None else rows["component"].iloc[-1]  # may go on in the next batch
+            kept = rows[rows["component"] == last]
+            out = []
+            for _, g in rows[rows["component"] != last].groupby("component", sort=False):
+                who = {n: x for p in ("a", "b") for n, *x in zip(g[p], *[g[f"{p}_{c}"] for c in ("kind", "first", "middle", "last")])}
+                ids = sorted(who)
+                at = {n: i for i, n in enumerate(ids)}
+                label = average_linkage([dict(zip(*w.vector(*who[n]))) for n in ids], [(at[a], at[b]) for a, b in zip(g["a"], g["b"])], link_at)
+                least = {}
+                for n, x in zip(ids, label):
+                    least.setdefault(x, n)
+                out += [(n, least[x]) for n, x in zip(ids, label)]
+            yield pd.DataFrame(out, columns=["node", "entity"]).astype("int64")
+
+    grouped = spread(linked, "component").sortWithinPartitions("component").mapInPandas(cluster, "node bigint, entity bigint")
     return spelled.select("name", "node").join(grouped, "node", "left").select("name", F.coalesce("entity", "node").alias("entity"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sonarium.llm import names, survivors, vocabulary
@@ -8,15 +9,19 @@ ONE = ["José Supu Hosjormer", "JosÃ© Supu Hosjormer", "Pepe Supu Hosjormer",
 TWO = ["The Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective", "Femvil Vilfemsol Collective, The", "the femvil vilfemsol coll.", "The Femvil Vilemsol Collective", "F. Vilfemsol Collective", "Collective Femvil Vilfemsol", "Femvil Vilfemsol Colll."]
 OTHERS = ["José Kelmun Døbraji", "Maria Supu Tantreli", "The Bomgun Hønkudru Collective", "Femvil Gromislos Trio", "The Nollus Pünlurme Sound Ssytem"]
 
+#: A further person with whom Pepe stands for José, from which the short form is learned.
+LEARNED = ["José Kirfo Madulten", "Pepe Kirfo Madulten"]
+
 
 def test_variants_meet_and_others_do_not(spark):
-    d = spark.createDataFrame([(n,) for n in [*ONE, *ONE[:2], *TWO, *OTHERS, None, "", "n/a", "Various Artists", " VARIOUS ARTISTS"]], "name string")
-    got = {r.name: r.entity for r in names.link(d).collect()}
-    assert set(got) == {*ONE, *TWO, *OTHERS}
-    assert len({got[n] for n in ONE}) == 1 and len({got[n] for n in TWO}) == 1
-    assert len({got[ONE[0]], got[TWO[0]], *[got[n] for n in OTHERS]}) == 2 + len(OTHERS)
-    pairs = names.pairs(names.link(d)).collect()
-    assert len(pairs) == len(ONE) * (len(ONE) - 1) // 2 + len(TWO) * (len(TWO) - 1) // 2 and all(p.name_a < p.name_b for p in pairs)
+    d = spark.createDataFrame([(n,) for n in [*ONE, *ONE[:2], *TWO, *OTHERS, *LEARNED, None, "", "n/a", "Various Artists", " VARIOUS ARTISTS"]], "name string")
+    linked = names.link(d)
+    got = {r.name: r.entity for r in linked.collect()}
+    assert set(got) == {*ONE, *TWO, *OTHERS, *LEARNED}
+    assert len({got[n] for n in ONE}) == 1 and len({got[n] for n in TWO}) == 1 and len({got[n] for n in LEARNED}) == 1
+    assert len({got[ONE[0]], got[TWO[0]], got[LEARNED[0]], *[got[n] for n in OTHERS]}) == 3 + len(OTHERS)
+    pairs = names.pairs(linked).collect()
+    assert len(pairs) == sum(len(x) * (len(x) - 1) // 2 for x in (ONE, TWO, LEARNED)) and all(p.name_a < p.name_b for p in pairs)
     assert names.link(d.limit(0)).count() == 0
 
 
@@ -43,19 +48,82 @@ def test_prefix_loses_no_near_pair():
                 assert prefixes[i] & prefixes[j]
 
 
+def _people(rng, n):
+    part = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(4, 7)))
+    lasts = [part() for _ in range(n // 6)]
+    return sorted({(part(), part(), rng.choice(lasts)) for _ in range(n)})
+
+
+def _cosines(people):
+    import numpy as np
+
+    counts = np.zeros(names.SLOTS, np.int64)
+    for p in people:
+        counts[np.unique(names._slots(names.grams("person", *p)))] += 1
+    w = names.Weights(counts, len(people))
+    vectors = [dict(zip(*w.vector("person", *p))) for p in people]
+    return w, {(i, j): sum(float(v) * float(vectors[j].get(k, 0.0)) for k, v in vectors[i].items()) for i in range(len(people)) for j in range(i + 1, len(people))}
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_cosine_join_against_all_pairs(spark, monkeypatch, block):
+    people = _people(random.Random(5), 180)
+    w, cosines = _cosines(people)
+    monkeypatch.setattr(names, "STEP", 50)
+    nodes = spark.createDataFrame([(i, "person", *p) for i, p in enumerate(people)], "node bigint, kind string, first string, middle string, last string")
+    found = names.cosine_pairs(names.postings(nodes, spark.sparkContext.broadcast(w), 0.4), 0.4, block)
+    got = {(r.a, r.b): r.cosine for r in found.collect()}
+    apart = lambda a, b: (names.letters(a) ^ names.letters(b)).bit_count()
+    may = lambda i, j: apart(people[i][2], people[j][2]) <= 4 or apart("".join(people[i]), "".join(people[j])) <= 2
+    want = {p for p, c in cosines.items() if c >= 0.4 and may(*p)}
+    assert want and set(got) == want and all(abs(got[p] - cosines[p]) < 1e-5 for p in want)
+    best = names.cosine_pairs(names.postings(nodes, spark.sparkContext.broadcast(w), 0.4), 0.4, block, top_n=1)
+    nearest = {p for i in range(len(people)) for p in sorted((p for p in want if i in p), key=lambda p: (-got[p], sum(p) - i))[:1]}
+    assert {(r.a, r.b) for r in best.collect()} == nearest
+    assert names.cosine_pairs(names.postings(nodes.limit(0), spark.sparkContext.broadcast(w), 0.4), 0.4).count() == 0
+
+
+def test_no_entity_below_the_threshold(spark):
+    """At the highest threshold only equal name parts are one; a name whose parts agree but whose cosine is too low is linked at a lower one."""
+    d = spark.createDataFrame([("Victoria Kektis Kutabro",), ("Victoria Kektis Kutalbro",), ("victoria kektis kutabro",)], "name string")
+    entities = lambda at: len({r.entity for r in names.link(d, join_at=at, link_at=0.0).collect()})
+    assert entities(0.95) == 2 and entities(0.05) == 1
+
+
 def test_average_linkage():
+    near = lambda c: {0: c, 1: (1 - c * c) ** 0.5}
+    vectors = [{0: 1.0}, near(0.9), near(0.1)]
+    links = [(0, 1), (1, 2)]
+    assert names.average_linkage(vectors, links, 0.35) == [0, 0, 2]
+    assert len(set(names.average_linkage(vectors, links, 0.15))) == 1
+    assert names.average_linkage(vectors, [], 0.0) == [0, 1, 2]
+    chain = [near(1 - i / 500) for i in range(400)]
+    assert len(set(names.average_linkage(chain, [(i, i + 1) for i in range(399)], 0.0))) == 1
+
+
+def test_average_linkage_against_a_dense_one():
     import numpy as np
 
-    s = np.array([[1, 0.9, 0.1], [0.9, 1, 0.3], [0.1, 0.3, 1]])
-    assert names.average_linkage(3, s, 0.25).tolist() == [0, 0, 2]
-    assert len(set(names.average_linkage(3, s, 0.15).tolist())) == 1
+    rng = random.Random(8)
+    for _ in range(20):
+        n = rng.randint(2, 9)
+        m = np.array([[rng.random() for _ in range(4)] for _ in range(n)])
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        least = rng.choice([0.7, 0.85, 0.95])
+        groups = [{i} for i in range(n)]
+        while len(groups) > 1:
+            c, i, j = max((np.mean([m[x] @ m[y] for x in a for y in b]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if c < least:
+                break
+            groups[i] |= groups.pop(j)
+        label = names.average_linkage([dict(enumerate(v)) for v in m.tolist()], [(i, j) for i in range(n) for j in range(i + 1, n)], least)
+        assert {frozenset(i for i in range(n) if label[i] == x) for x in label} == {frozenset(g) for g in groups}
 
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a bigint, b bigint")
-    nodes = spark.createDataFrame([(i,) for i in [*range(31), 100, 101, 200]], "node bigint")
-    got = {r.node: r.component for r in names.components(edges, nodes).collect()}
-    assert {got[i] for i in range(31)} == {0} and got[101] == 100 and got[200] == 200
+    got = {r.node: r.component for r in names.components(edges).collect()}
+    assert {got[i] for i in range(31)} == {0} and got[101] == 100 and len(got) == 33
 
 
 CATALOG = [(1, "House"), (2, "Deep House"), (3, "Hip Hop"), (4, "R&B"), (5, "Drum & Bass"), (6, "Chamber Music"), (7, "Children's Music"), (8, "Rock 'n' Roll"), (9, "Rock"), (10, "Disco"), (11, "Classical"), (12, "Spoken Word"), (13, "Black Metal"), (14, "Jazz")]
