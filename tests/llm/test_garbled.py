@@ -15,7 +15,7 @@ def _bad(text, encoding):
     return "".join(out)
 
 
-@pytest.mark.parametrize("encoding", garbled.ENCODINGS)
+@pytest.mark.parametrize("encoding", [e for e in garbled.ENCODINGS if e not in ("iso8859_15", "koi8_r")])
 def test_round_trip(encoding):
     for t in ("Kærlighed", "Übermut", "Renée Stovek", "Corazón de Cañón", "Łódź o Świcie", "Жёлтый фонарь", "夜の自転車", "It’s Only Röntgen", "CORAÇÃO DE VERÃO"):
         assert garbled.repair(_bad(t, encoding), garbled.no_statistics()) == (t, True), (t, encoding)
@@ -40,6 +40,63 @@ def test_segments():
     assert garbled.segments(np.array([])) == []
 
 
+def _statistics(texts):
+    """What gather counts in texts that are correct, without a table."""
+    from collections import Counter
+
+    place, chars = garbled._alphabet()
+    pairs = Counter()
+    for t in texts:
+        codes = [int(place[ord(c)]) for c in garbled.EDGE + t + garbled.EDGE]
+        pairs.update(a * len(chars) + b for a, b in zip(codes, codes[1:]))
+    return garbled.Statistics(sorted(pairs), [pairs[p] for p in sorted(pairs)])
+
+
+def test_the_corpus_decides():
+    """One shape of bytes: two signs that stand for a letter where the corpus has that letter, and for themselves where it has them."""
+    shape = "MAÇÃ®"
+    french = _statistics(["MAÇîMAÇîM", "maître", "île", "chaîne d'août"] * 200)
+    brands = _statistics(["CORAÇÃO", "MAÇÃ", "FÉ®", "AÇAÍ®", "MAÇÃ ®", "IRMÃ®"] * 200)
+    assert garbled.repair(shape, french) == ("MAÇî", True)
+    assert garbled.repair(shape, brands) == (shape, False)
+    assert garbled.improbable(shape, french) and not garbled.improbable("CORAÇÃO", brands)
+
+
+def test_counts_decide_between_readings():
+    bad = _bad("Ωραία", "mac_roman")
+    greek = _statistics(["Ωραία νύχτα", "Γεια σου"] * 50)
+    assert garbled.repair(bad, greek) == ("Ωραία", True)
+    assert garbled.repair(_bad("Kærlighed", "iso8859_15"), _statistics(["Kærlighed", "Fødselsdag", "Når æblerne falder"] * 50)) == ("Kærlighed", True)
+
+
+def test_each_pair_has_a_count_of_its_own(spark):
+    texts = ["".join(chr(0x100 + (i * 7 + j) % 300) for j in range(12)) for i in range(300)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    stats = garbled.gather(d, ["t"])
+    want = _statistics([t for t in texts if not garbled._ambiguous().search(t)])
+    assert set(want.pairs) <= set(stats.pairs) and len(stats.pairs) <= len(garbled._alphabet()[1]) ** 2
+    assert stats.n >= want.n
+
+
+def test_held_out_restoration(spark):
+    """Correct values of the test table, read wrongly: restored to the originals, by statistics of other rows."""
+    import os
+    import random
+
+    path = "/root/testdata/sf0.001/smoke_final_completed.parquet"
+    if not os.path.isdir(path) and not os.path.isfile(path):
+        pytest.skip("no test tables")
+    d = spark.read.parquet(path)
+    stats = garbled.gather(d.where("row_id % 2 = 0"), ["title", "artist", "album"])
+    rows = d.where("row_id % 2 = 1").select("title", "artist", "album").collect()
+    values = sorted({v for r in rows for v in r if v and not v.isascii() and not garbled._ambiguous().search(v)})
+    random.Random(1).shuffle(values)
+    assert not any(garbled.repair(v, stats)[1] for v in values[:300])
+    for encoding in ("cp1252", "cp437", "mac_roman", "cp1251", "cp850", "cp1254", "cp1253"):
+        right = sum(garbled.repair(_bad(v, encoding), stats) == (v, True) for v in values[:100])
+        assert right >= 0.95 * len(values[:100]), (encoding, right)
+
+
 def test_tables(spark):
     rows = [(i, t, None) for i, t in enumerate(GOOD)] + [(100, "RenÃ©e", "x"), (101, None, "CafÃ©"), (100, "RenÃ©e", "x"), (102, "abc " * 20000 + "Ã¸", None)]
     d = spark.createDataFrame(rows, "row_id bigint, title string, restored string")
