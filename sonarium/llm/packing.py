@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sonarium.session import stored
 
-#: Salts over which a size's items are numbered, so that a size that a third of all items have is no single task.
-SALTS = 256
+#: Items of one size that are numbered together, about; a more frequent size is numbered in as many salts as that takes.
+NUMBERED = 20_000
 
 
 def plan(histogram: dict[int, int], capacity: int, most_items: int, most_cost: int, rule: str = "norm") -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -70,12 +71,13 @@ def pack(items: DataFrame, key: str, capacity: int = 2048, most_items: int = 102
     """``(key, part_no, token_start, n_tokens, container_id)``: every item of ``items(key, n_tokens)`` in a container.
 
     No container exceeds ``capacity`` tokens, ``most_items`` pieces or ``most_cost`` (the sum of squared tokens, by default
-    what one full piece has). Items of size 0 are placed like others. Repeated keys are items of their own; an empty table
+    what one full piece has; a lower one binds, and an item is divided if it exceeds it alone). Items of size 0 are placed like others. Repeated keys are items of their own; an empty table
     gives an empty one. Only the histogram of sizes, at most ``capacity`` + 1 numbers, comes to the driver; the items are
     numbered within their size over salts and look their container up in the plan.
     """
     most_cost = capacity**2 if most_cost is None else most_cost
-    p = stored(pieces(items, key, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "part_no"), F.lit(SALTS)).cast("int")), "pieces")
+    p = stored(pieces(items, key, min(capacity, isqrt(most_cost))), "pieces")
+    p = p.withColumn("salt", F.pmod(F.xxhash64(key, "part_no"), F.lit(p.count() // NUMBERED + 1)).cast("int"))
     counts = p.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     ranks, starts = defaultdict(list), defaultdict(list)
@@ -111,11 +113,13 @@ def pack(items: DataFrame, key: str, capacity: int = 2048, most_items: int = 102
 
 
 def packing_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: containers, pieces, tokens, the least containers that could hold them, and the unused share of the capacity."""
-    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"))
+    """One row: containers, pieces, tokens, the least containers that could hold them, the unused share of the capacity, and
+    the tokens, pieces and cost of the container that has most of each."""
+    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n_tokens").cast("bigint") ** 2).cast("bigint").alias("c"))
     total = F.coalesce(F.sum("t"), F.lit(0))
     n = F.count(F.lit(1))
     return per.agg(
         n.alias("containers"), F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), total.alias("tokens"), F.ceil(total / capacity).alias("least_containers"),
         F.round(F.when(n > 0, 1 - total / (n * capacity)), 6).alias("unused_share"), F.coalesce(F.max("t"), F.lit(0)).alias("fullest"),
+        F.coalesce(F.max("k"), F.lit(0)).alias("most_pieces"), F.coalesce(F.max("c"), F.lit(0)).alias("highest_cost"),
     )

@@ -79,3 +79,18 @@ def test_pack_edges(spark):
 def test_cost_is_a_constraint():
     for first, times, content in packing.plan({5: 9, 3: 7, 1: 20}, 10, 100, 40):
         assert sum(s * k for s, k in content) <= 10 and sum(s * s * k for s, k in content) <= 40
+
+
+def test_every_constraint_binds(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = {i: rng.choice([0, 1, 2, 45, 60, rng.randint(1, 70), 250]) for i in range(900)}
+    d = spark.createDataFrame(list(sizes.items()), "doc_id bigint, n_tokens int")
+    monkeypatch.setattr(packing, "NUMBERED", 50)
+    packed = packing.pack(d, "doc_id", 200, 6, 70**2)
+    r = packing.packing_report(packed, 200).first()
+    assert r.most_pieces == 6 and 0.9 * 70**2 < r.highest_cost <= 70**2 and r.tokens == sum(sizes.values())
+    parts = {}
+    for x in packed.collect():
+        parts.setdefault(x.doc_id, []).append((x.part_no, x.token_start, x.n_tokens))
+    for i, p in parts.items():
+        assert sum(x[2] for x in p) == sizes[i] and (len(p) == 1) == (sizes[i] <= 70)
