@@ -52,7 +52,8 @@ def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
     """``(row_id, recording)``: a key of artist and title version for every row; rows without artist or title get none.
 
     ``entities(name, entity)`` tells which spellings of an artist are one. A title with lost characters takes the key of the
-    same artist's title that has the same letters otherwise. A hot artist is one key of the first join; adaptive execution
+    same artist's title that has the same letters otherwise, if there is just one; a title that lost all its letters stays alone
+    with those that lost theirs in the same way. A hot artist is one key of the first join; adaptive execution
     splits it, and all later keys hold the title too.
     """
     keys = pandas_udf(_keys, "struct<key string, bare string>")
@@ -60,7 +61,8 @@ def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
     d = stored(d.select("row_id", "name", "k.key", "k.bare"), "titles")  # both branches below read it
     d = d.join(entities, "name").select("row_id", "entity", "key", "bare")
     lost = F.startswith("key", F.lit(LOST))
-    known = d.where(~lost).groupBy("entity", "bare").agg(F.min("key").alias("known"))
+    one = F.when(F.min("key") == F.max("key"), F.min("key"))  # no title to choose where several have these letters
+    known = d.where(~lost & (F.col("bare") != "")).groupBy("entity", "bare").agg(one.alias("known"))
     fixed = d.where(lost).join(known, ["entity", "bare"], "left").withColumn("key", F.coalesce("known", "key")).drop("known")
     return d.where(~lost).unionByName(fixed).select("row_id", F.struct("entity", "key").alias("recording"))
 

@@ -81,7 +81,8 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(token, word, sim)``: the words of ``vocabulary(word)`` within the allowed edits of each distinct ``token``.
 
     Both sides are joined by equality on what remains after leaving characters out, then the distance is checked; no pair
-    within the distance escapes and no cross join is needed, whatever the sizes.
+    within the distance escapes and no cross join is needed, whatever the sizes. A token longer by more than the allowed
+    edits than the longest word can meet none and is left out first.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -98,23 +99,25 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
             out.append(1 - d / max(len(x), len(y)) if d <= most else 0.0)
         return pd.Series(out, dtype=float)
 
-    left = spread(tokens.select("token").distinct(), "token").withColumn("key", F.explode(shortened("token")))
+    longest = vocabulary.agg(F.max(F.length("word")).alias("n")).first().n or 0
+    left = spread(tokens.select("token").where(F.length("token") <= longest + 2).distinct(), "token").withColumn("key", F.explode(shortened("token")))
     right = vocabulary.select("word").distinct().withColumn("key", F.explode(shortened("word")))
     pairs = left.join(small(right, 100_000), "key").select("token", "word").distinct()
     return pairs.withColumn("sim", likeness("token", "word")).where(F.col("sim") > 0)
 
 
-def map_values(values: DataFrame, column: str, catalog: DataFrame, least: float = LEAST) -> DataFrame:
+def map_values(values: DataFrame, column: str, catalog: DataFrame, least: float = LEAST, aliases: dict[str, str] = ALIASES) -> DataFrame:
     """``(value, genre_id, score)`` of every distinct non-missing string in ``values``; genre_id 0 and score 0 for those that mean no entry.
 
     Each distinct token is repaired by edit distance to the words of ``catalog(genre_id, name)`` and its aliases; complete
     entries are ranked by soft TF-IDF: the cosine of the weighted words, each pair counting by its likeness
     and each word on either side once. Ties go to the
-    smallest id. A null value is left out; an empty list of entries maps all to 0.
+    smallest id. A null value is left out; an empty list of entries maps all to 0. ``aliases`` are further names of entries,
+    such as translations and short forms, which no spelling can show.
     """
     spark = values.sparkSession
     names = catalog.select("genre_id", F.col("name").alias("form"))
-    known = spark.createDataFrame(list(ALIASES.items()), "form string, name string").join(catalog.select("genre_id", "name"), "name").select("genre_id", "form")
+    known = spark.createDataFrame(list(aliases.items()), "form string, name string").join(catalog.select("genre_id", "name"), "name").select("genre_id", "form")
     entries = _long(names.union(known).select("form").distinct(), "form").toDF("entry", "entry_form", "entry_pos", "word")
     entries = stored(entries, "entries")
     forms_of = names.union(known).withColumnRenamed("form", "entry").groupBy("entry").agg(F.min("genre_id").alias("genre_id"))

@@ -182,3 +182,19 @@ def test_survivors(spark):
 def test_scores(spark):
     d = spark.createDataFrame([("0.430",), ("0,43",), ("43.0%",), (" 0.43 ",), ("NEEDS_REVIEW",), ("",), (None,)], "s string")
     assert [None if r.q is None else float(r.q) for r in d.select(survivors.score_value(F.col("s")).alias("q")).collect()] == [0.43] * 4 + [None] * 3
+
+
+def test_lost_titles_join_no_other(spark):
+    titles = ["東京", "大阪", "\ufffd\ufffd", "Chéri", "Chüri", "Ch\ufffdri", "Søster", "S\ufffdster"]
+    d = spark.createDataFrame([(i, "Ann", t) for i, t in enumerate(titles)], "row_id bigint, artist string, title string")
+    got = {r.row_id: r.recording for r in survivors.recordings(d, spark.createDataFrame([("Ann", 1)], "name string, entity bigint")).collect()}
+    assert len({got[i] for i in range(6)}) == 6 and got[6] == got[7]
+
+
+def test_very_long_tokens(spark):
+    c = spark.createDataFrame(CATALOG, "genre_id int, name string")
+    rng = random.Random(3)
+    d = spark.createDataFrame([("".join(rng.choice("abcdefgh") for _ in range(20000)),), ("Howse",)], "v string")
+    assert {r.value[:5]: r.genre_id for r in vocabulary.map_values(d, "v", c).collect()}["Howse"] == 1
+    other = {r.value: r.genre_id for r in vocabulary.map_values(spark.createDataFrame([("dubby",)], "v string"), "v", c, aliases={"dubby": "House"}).collect()}
+    assert other == {"dubby": 1}
