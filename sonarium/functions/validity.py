@@ -8,40 +8,73 @@ from pyspark.sql import functions as F
 from sonarium.functions.numbers import number
 from sonarium.functions.text import key_value, squeeze
 
-# Placeholders that mean a missing value.
-PLACEHOLDERS = ("", "-", "n/a", "na", "none", "null", "unknown", "unknown artist", "unknown title", "unknown album", "unknown language", "unknown year", "unknown key", "unknown bpm", "needs_review", "untitled", "various artists")
+# Placeholders that mean a missing value, how others begin, and values of other fields that are no name of an artist or a language.
+PLACEHOLDERS = (
+    "", "-", "n/a", "na", "none", "null", "unknown", "unknown language", "unknown year", "unknown bpm", "unknown key", "needs_review", "needs review",
+    "not listed in free sources", "not listed",
+)
+MISSING_STARTS = ("unknown", "not listed", "needs_review", "needs review")
+OTHER_FIELDS = (
+    "all season", "all weather", "ambient", "blues", "classic rock", "dance", "dance pop", "dance-pop", "electro", "electronic", "electronica", "electropop", "energetic",
+    "hard techno", "high", "house", "mainstream", "medium", "medium high", "pop", "popular music", "retail energy", "rock", "rock and roll", "rock roll", "upbeat",
+)
 
 
 def missing(c: Column) -> Column:
-    """Null, blank or a placeholder (R-17, P-09)."""
-    return F.lower(squeeze(c)).isin(*PLACEHOLDERS)
+    """P-09, R-17: null, blank, a placeholder, or what begins like one."""
+    t = F.lower(squeeze(c))
+    begins = [F.startswith(t, F.lit(x)) for x in MISSING_STARTS]
+    return t.isin(*PLACEHOLDERS) | begins[0] | begins[1] | begins[2] | begins[3]
 
 
 def is_key(c: Column) -> Column:
-    """F-15: a musical key."""
-    return F.trim(c).rlike(r"(?i)^[A-G](#|b|♯|♭)?\s*(major|minor|maj|min|m)?$") & F.trim(c).rlike(r"^[A-Ga-g](.|$)")
+    """F-15: a musical key: a note and its mode."""
+    return F.lower(squeeze(c)).rlike(r"^[a-g][#b]?\s+(major|minor)$")
 
 
 def is_url(c: Column) -> Column:
-    return F.trim(c).rlike(r"(?i)^(https?://|www\.)\S+$")
+    """F-15: an address."""
+    return F.lower(squeeze(c)).rlike(r"^https?://")
 
 
 def is_date(c: Column) -> Column:
-    return F.trim(c).rlike(r"^(\d{4}([-/.]\d{1,2}){0,2}([T ].*)?|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})$")
+    """F-15: a year, a month or day of it with hyphens, or a date with slashes."""
+    return squeeze(c).rlike(r"^(\d{4}(-\d{1,2}(-\d{1,2})?)?|\d{1,2}/\d{1,2}/\d{2,4})$")
+
+
+def is_number(c: Column) -> Column:
+    """F-15: a number; ``nan`` and ``inf`` are some."""
+    t = squeeze(c)
+    return number(t).isNotNull() | t.rlike(r"(?i)^[+-]?(nan|inf(inity)?)$")
 
 
 def is_json(c: Column) -> Column:
+    """F-15: an object or a list."""
     return F.trim(c).rlike(r"^[\[{]") & F.try_parse_json(c).isNotNull()
 
 
 def usable_tag(c: Column) -> Column:
     """P-08: no placeholder, date, number, address or musical key."""
-    return ~(missing(c) | is_date(c) | number(c).isNotNull() | is_url(c) | is_key(c))
+    t = F.lower(squeeze(c))
+    return ~(t.isin(*PLACEHOLDERS) | t.rlike("^needs[_ ]review") | is_date(c) | is_number(c) | is_url(c) | is_key(c))
+
+
+def usable_title(c: Column) -> Column:
+    """P-09: not missing, no date, number or address; genres (P-09, C-15) are held to the same."""
+    return ~(missing(c) | is_date(c) | is_number(c) | is_url(c))
+
+
+usable_genre = usable_title
+
+
+def usable_artist(c: Column, own: tuple[str, ...] = ()) -> Column:
+    """P-09: not missing, and no value of another field; ``own`` are names of the house that never are an artist, as keys."""
+    return ~(missing(c) | key_value(c).isin(*OTHER_FIELDS, *own))
 
 
-def usable_name(c: Column) -> Column:
-    """P-09: a title or artist that is one: has a letter, is no date, number, address or JSON."""
-    return ~(missing(c) | is_date(c) | number(c).isNotNull() | is_url(c) | is_json(c)) & c.rlike(r"\p{L}")
+def usable_language(c: Column) -> Column:
+    """P-09: not missing, no date, number, address or value of another field."""
+    return usable_title(c) & ~key_value(c).isin(*OTHER_FIELDS)
 
 
 def issues(**rules: Column) -> Column:

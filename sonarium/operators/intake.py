@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonarium.functions.text import key_filename, path_parts, squeeze
+from sonarium.functions.text import key_filename, path_parts, squeeze, to_fix_point
 
 # Noise at the end or in brackets of file names; names that say nothing.
 NOISE = r"(?i)\s*[\[(]\s*(?:official|lyrics?|audio|video|visuali[sz]er|hd|hq|4k|free download|\d+ ?kbps)[^\])]*[\])]"
@@ -32,12 +32,11 @@ def is_generic(stem: Column) -> Column:
     return (t == "") | (~t.rlike(r"\s-\s") & t.rlike(GENERIC))
 
 
-def clean_name(name: Column, passes: int = 3) -> Column:
-    """F-08: a file name without noise and illegal characters, one kind of dash, the suffix lower case."""
+def clean_name(name: Column) -> Column:
+    """F-08: a file name without noise, however often it stands there, and illegal characters, one kind of dash, the suffix lower case."""
     parts = path_parts(name)
     stem = F.regexp_replace(squeeze(parts["stem"]), r"\s*[‐-―]\s*", " - ")
-    for _ in range(passes):
-        stem = F.regexp_replace(F.regexp_replace(stem, NOISE, " "), TRAILING, "")
+    stem = to_fix_point(stem, lambda s: F.regexp_replace(F.regexp_replace(s, NOISE, " "), TRAILING, ""))
     stem = F.regexp_replace(F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1f]+', " "), r"\s+-\s+", " - ")
     stem = F.regexp_replace(squeeze(stem), r"^[ .\-_]+|[ .\-_]+$", "")
     return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.nullif(parts["stem"], F.lit("")), F.lit("media")), parts["suffix"])

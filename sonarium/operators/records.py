@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.numbers import clock, seconds, tempo
-from sonarium.functions.text import distinct_values, flag, key_filename, key_title, key_value, lyrics_marked, path_parts, safe_name, split_dashes, split_values, squeeze, title_case
-from sonarium.functions.validity import distinct_tags, fallback, first_of, issues, missing, points, usable_name
+from sonarium.functions.text import DAMAGE, distinct_values, key_filename, key_title, key_value, path_parts, safe_name, split_dashes, split_values, title_case
+from sonarium.functions.validity import fallback, issues, missing, points, usable_artist, usable_genre, usable_language, usable_title
 from sonarium.operators.state import first_per_key, propagated
 from sonarium.session import held
 
-#: Tag sources of a portal row, in order (C-11), and where rows go that no folder claims.
-TAG_SOURCES, UNMATCHED = ("subgenre", "moods", "mood", "weather", "season", "age_group"), "_unmatched"
+#: Where rows go that no folder claims.
+UNMATCHED = "_unmatched"
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def distinct_core(df: DataFrame) -> DataFrame:
 def with_points(df: DataFrame, out: str = "_points") -> DataFrame:
     """T-08: ``df`` with the points of each portal row."""
     d = _keyed(df)
-    names = {c: usable_name(F.col(c)) for c in ("title", "artist", "genre", "language")}
+    names = {c: ok(F.col(c)) for c, ok in (("title", usable_title), ("artist", usable_artist), ("genre", usable_genre), ("language", usable_language))}
     d = held(d, **{f"_ok_{c}": F.coalesce(v, F.lit(False)) for c, v in names.items()})
     t, a, fa = F.col("_tv"), F.col("_a"), F.col("_nak")
     begins = lambda x: (x != "") & ((t == x) | F.startswith(t, F.concat(x, F.lit(" "))))
@@ -56,33 +56,30 @@ def with_points(df: DataFrame, out: str = "_points") -> DataFrame:
     return held(d, **{out: points(**rules)}).drop(*KEYS, *[f"_ok_{c}" for c in names])
 
 
-def portal_rows(df: DataFrame, album: str = "Single", label: str = "Unspecified", facts: DataFrame | None = None) -> DataFrame:
-    """R-02, C-11, C-13, and C-18 for time: report rows as the 14 portal columns, with ``seq`` for their order; album and label are fixed for all rows.
-
-    ``facts(path, duration_seconds)`` has one row a file at most; a row whose file is not there, or was not measured, has time 00:00:00.
-    """
-    if facts is None:
-        df = df.withColumn("_seconds", F.lit(None).cast("int"))
-    else:
-        df = df.join(facts.select(F.col("path").alias("file_path"), F.col("duration_seconds").alias("_seconds")), "file_path", "left")
-    tags = F.flatten(F.array(*[split_values(F.col(c)) for c in TAG_SOURCES]))
-    d = df.select(
-        F.col("row_id").alias("seq"), lyrics_marked(squeeze(F.col("title")), F.col("filename")).alias("title"), F.lit(album).alias("album"), squeeze(F.col("artist")).alias("artist"),
-        clock(F.coalesce("_seconds", F.lit(0))).alias("time"), first_of(F.get(split_values(F.col("genre")), F.lit(0))).alias("genre"), F.coalesce(tempo(F.col("bpm")).cast("string"), F.lit("")).alias("tempo"),
-        F.col("filename"), F.regexp_extract(F.coalesce("year", "date", F.lit("")), r"((?:19|20)\d{2})", 1).alias("year"), squeeze(F.col("language")).alias("language"), F.lit("0").alias("isDL"),
-        F.lit(label).alias("label"), flag(F.col("vocals"), "vocal|choir|voice", "0").alias("vocal"), flag(F.col("vocals"), "instrumental", "0").alias("instrumental"), tags.alias("_tags"),
-    )
-    d = distinct_core(held(d, title=F.col("title"), artist=F.col("artist"), genre=F.col("genre"), _tags=F.col("_tags")))
-    d = held(d, _tags=distinct_tags(F.col("_tags"), F.col("title"), F.col("artist"), F.col("genre")))
-    return held(d, tag=F.array_join(F.transform("_tags", lambda t: title_case(t)), ",")).drop("_tags")
-
-
-def portal_issues(df: DataFrame) -> Column:
+def portal_issues(d: DataFrame) -> Column:
     """P-14: why a portal row is not valid; empty if it is."""
-    return issues(
-        title=~usable_name(F.col("title")), artist=~usable_name(F.col("artist")), genre=~usable_name(F.col("genre")), language=missing(F.col("language")),
-        tempo=F.col("tempo") == "", year=F.col("year") == "", vocal=F.col("vocal") == F.col("instrumental"),
-    )
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    pair = F.col("vocal").isin("0", "1") & F.col("instrumental").isin("0", "1") & (F.col("vocal") != F.col("instrumental"))
+    year = F.when(F.col("year").rlike(r"^\d{1,9}$"), F.col("year").try_cast("int"))
+    return issues(**{
+        "duration not resolved": ~(F.coalesce(seconds(F.col("time")), F.lit(0)) > 0), "title invalid": ~usable_title(F.col("title")), "artist invalid": ~usable_artist(F.col("artist")),
+        "genre invalid": ~usable_genre(F.col("genre")), "language invalid": ~usable_language(F.col("language")), **{f"{c} missing": blank(F.col(c)) for c in ("tempo", "year", "vocal", "instrumental")},
+        "year invalid": ~blank(F.col("year")) & ~F.coalesce(year.between(1900, 2100), F.lit(False)), "tempo invalid": ~blank(F.col("tempo")) & tempo(F.col("tempo")).isNull(),
+        "vocal/instrumental invalid": ~pair,
+    })
+
+
+def factual_issues(d: DataFrame) -> Column:
+    """P-15: what of a portal row is not verified, and which of its fields contradict each other or show a wrong decoding."""
+    said = {f"{c} not verified": missing(F.col(c)) for c in ("title", "album", "artist", "genre", "filename", "year", "language", "label", "tag")}
+    for c, ok in (("title", usable_title), ("artist", usable_artist), ("genre", usable_genre), ("language", usable_language)):
+        said[f"{c} not verified"] = said[f"{c} not verified"] | ~ok(F.col(c))
+    signs = lambda c: F.col(c).rlike("|".join(DAMAGE))
+    said |= {f"{c} contains unresolved encoding damage": signs(c) for c in ("title", "album", "artist", "filename", "label")}
+    t, a, g = key_title(F.col("title")), key_value(F.col("artist")), key_value(F.col("genre"))
+    said["title and artist are not distinct"] = (t != "") & (t == a)
+    said["genre conflicts with track identity"] = (g != "") & g.isin(t, a)
+    return issues(**said)
 
 
 def identity(df: DataFrame) -> Column:
@@ -91,10 +88,9 @@ def identity(df: DataFrame) -> Column:
     return F.struct(key_value(F.col("title")).alias("t"), key_value(F.col("artist")).alias("a"), key_value(F.col("genre")).alias("g"), tags.alias("tags"))
 
 
-def convert(df: DataFrame, strict: bool = True, facts: DataFrame | None = None) -> DataFrame:
-    """Report rows to portal rows: the best row of each file name (earliest on ties), the first genre of a song for all its rows,
+def convert(d: DataFrame, strict: bool = True) -> DataFrame:
+    """Portal rows (portal.portal_rows) to those that go out: the best row of each file name (earliest on ties), the first genre of a song for all its rows,
     one row an identity, and then, if ``strict``, only valid ones. A row that is dropped as invalid still suppresses its twins."""
-    d = portal_rows(df, facts=facts)
     d = with_points(held(d, _key=key_filename(F.col("filename"))))
     best = d.where(F.col("_key") != "").groupBy("_key").agg(F.min("seq").alias("_group"), F.max(F.struct("_points", (-F.col("seq")).alias("o"), *[c for c in d.columns if c[0] != "_" and c != "seq"])).alias("b"))
     d = best.select(F.col("_group").alias("seq"), *[F.col(f"b.{c}").alias(c) for c in d.columns if c[0] != "_" and c != "seq"])
@@ -117,14 +113,10 @@ def round_robin(tagged: DataFrame, groups: DataFrame, key: str, order: str, grou
     return d if keep_unmatched else d.where(F.col(group) != UNMATCHED)
 
 
-def folder_group(path: Column, roots: list[str], by: str = "top") -> Column:
-    """F-13: the top or parent folder of a path below whichever root it begins with."""
+def folder_group(path: Column, root: Column, by: str = "top") -> Column:
+    """F-13: the top or parent folder of a path below ``root``, the root it begins with (null if none)."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    inside = p
-    for r in roots:
-        r = r.replace("\\", "/").rstrip("/") + "/"
-        inside = F.when(F.startswith(p, F.lit(r)), F.substr(p, F.lit(len(r) + 1))).otherwise(inside)
-    group = path_parts(inside)[by]
+    group = path_parts(F.when(root.isNotNull(), F.substr(p, F.length(root) + 1)).otherwise(p))[by]
     return F.when(group == "", UNMATCHED).otherwise(safe_name(group))
 
 

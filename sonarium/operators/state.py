@@ -9,21 +9,30 @@ from pyspark.sql import functions as F
 DONE, CLOCK = ("dry_run_done", "updated", "no_change"), 0.001
 
 
+def _orderable(log: DataFrame, columns: list[str]) -> list[str]:
+    """Of the columns those that have an order: not maps, nor what holds one, nor variants."""
+    return [c for c in columns if not any(x in log.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+
+
+def _chosen(df: DataFrame, key: list[str], order: list[str], choose) -> DataFrame:
+    rest = [c for c in df.columns if c not in key and c not in order]
+    by = F.struct(*order, *_orderable(df, rest))
+    every = F.struct(*order, *rest) if rest or order else F.struct(F.lit(1))
+    b = df.groupBy(*key).agg(choose(every, by).alias("_b"))
+    return b.select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in df.columns])
+
+
 def last_wins(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """T-05, S-10, X-03: the last row of each key by ``order`` (the rest of the columns breaks ties).
+    """T-05, S-10, X-03: the last row of each key by ``order`` (the rest of the columns that have an order breaks ties).
 
-    A maximum of a struct, combined before the shuffle: a key with a third of all rows costs one row a task.
+    A choice combined before the shuffle: a key with a third of all rows costs one row a task.
     """
-    rest = [c for c in log.columns if c not in key and c not in order]
-    b = log.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_b"))
-    return b.select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in log.columns])
+    return _chosen(log, key, order, F.max_by)
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """U-02, X-05: the first row of each key by ``order``, likewise."""
-    rest = [c for c in df.columns if c not in key and c not in order]
-    b = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_b"))
-    return b.select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in df.columns])
+    return _chosen(df, key, order, F.min_by)
 
 
 def bloat(log: DataFrame, key: list[str], factor: float = 1.5) -> DataFrame:
@@ -60,11 +69,11 @@ def pending(media: DataFrame, log: DataFrame, reported: DataFrame | None = None)
 def propagated(df: DataFrame, key: str, order: list[str], value: str, out: str, exempt: str | None = None) -> DataFrame:
     """T-06: the first value of each key, blank or not, carried to all its rows; rows of the ``exempt`` key keep their own.
 
-    The first value is found by a partial aggregate and joined back, so no key is sorted in one task.
+    The first value is found by a partial aggregate and joined back, so no key is sorted in one task. A null key is a key.
     """
-    first = df.groupBy(key).agg(F.min(F.struct(*order, F.col(value).alias("v")))["v"].alias("_first"))
-    d = df.join(first, key)
-    keep = F.col(key) == exempt if exempt is not None else F.lit(False)
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order, F.col(value).alias("v")))["v"].alias("_first"))
+    d = df.join(first, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    keep = F.coalesce(F.col(key) == exempt, F.lit(False)) if exempt is not None else F.lit(False)
     return d.withColumn(out, F.when(keep, F.col(value)).otherwise(F.col("_first"))).drop("_first")
 
 

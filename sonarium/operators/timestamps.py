@@ -150,23 +150,25 @@ def estimate_zones(df: DataFrame, source: str, local: str, arrived: str, zones:
     return best.select("source", "b.time_zone", "b.violations", "b.n")
 
 
-def with_root_zone(df: DataFrame, path: str, roots: DataFrame, out: str) -> DataFrame:
-    """``df`` with ``out``, the zone of the root its path begins with (the longest such root), null if none.
+def with_root(df: DataFrame, path: str, roots: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the column ``value`` of the root its path begins with (the longest such root, ``root`` for itself), null if none.
 
-    ``roots`` is joined by equality on every prefix of the path that ends at a separator, so a large list of roots would be
-    a shuffled hash join; a list of checked size is broadcast. Root rows that repeat count once.
+    ``roots`` is joined by equality on the prefixes of the path that end at a separator, once for each depth that a root
+    has, so a large list of roots would be a shuffled hash join; a list of checked size is broadcast. Root rows that repeat
+    count once, with the least value. Trailing separators of a root do not matter.
     """
-    r = small(roots.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("time_zone").alias("_zone")), 2_000)
-    parts = F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/")
-    keyed = df.withColumn("_parts", parts)
-    slots = sorted({row.n for row in roots.select(F.size(F.split(F.replace("root", F.lit("\\"), F.lit("/")), "/")).alias("n")).distinct().limit(50).collect()}, reverse=True)
-    zones = []
-    for n in slots:
-        own = r.select(F.replace("root", F.lit("\\"), F.lit("/")).alias(f"_root{n}"), F.col("_zone").alias(f"_zone{n}"))
+    plain = F.regexp_replace(F.replace("root", F.lit("\\"), F.lit("/")), "/+$", "")
+    r = roots.where(F.col("root").isNotNull()).select(plain.alias("_root"), (plain if value == "root" else F.col(value)).alias("_value"))
+    r = small(r.groupBy("_root").agg(F.min("_value").alias("_value")), 2_000)
+    keyed = df.withColumn("_parts", F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/"))
+    depths = sorted((row.n for row in r.select(F.size(F.split("_root", "/")).alias("n")).distinct().collect()), reverse=True)  # as many as the deepest root has at most
+    found = []
+    for n in depths:
+        own = r.where(F.size(F.split("_root", "/")) == n).select(F.col("_root").alias(f"_root{n}"), F.col("_value").alias(f"_value{n}"))
         keyed = keyed.withColumn(f"_root{n}", F.array_join(F.slice("_parts", 1, n), "/")).join(own, f"_root{n}", "left")
-        zones.append(F.col(f"_zone{n}"))
-    keyed = keyed.withColumn(out, F.coalesce(*zones) if zones else F.lit(None).cast("string"))
-    return keyed.drop("_parts", *[c for n in slots for c in (f"_root{n}", f"_zone{n}")])
+        found.append(F.col(f"_value{n}"))
+    keyed = keyed.withColumn(out, F.coalesce(*found) if found else F.lit(None).cast("string"))
+    return keyed.drop("_parts", *[c for n in depths for c in (f"_root{n}", f"_value{n}")])
 
 
 def date_cases(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def date_cases(df: DataFrame, roots: DataFrame) -> DataFrame:
     year_normal = F.col("year").rlike(r"^[1-9]\d{3}$")
     d = df.select("row_id", "file_path", F.when(~date_normal, F.col("date")).alias("date"), F.when(~year_normal, F.col("year")).alias("year"))
     dated = d.where(F.trim("date") != "").select("row_id", "file_path", F.col("date").alias("was"))
-    dated = normal_dates(with_root_zone(dated, "file_path", roots, "_tz"), "was", "normal_value", "_tz").select("row_id", F.lit("date").alias("field_name"), "was", "normal_value")
+    dated = normal_dates(with_root(dated, "file_path", roots, "time_zone", "_tz"), "was", "normal_value", "_tz").select("row_id", F.lit("date").alias("field_name"), "was", "normal_value")
     years = normal_years(d.where(F.trim("year") != "").select("row_id", F.col("year").alias("was")), "was", "normal_value")
     both = dated.unionByName(years.select("row_id", F.lit("year").alias("field_name"), "was", "normal_value"))
     return both.where(F.col("normal_value").isNotNull() & (F.col("was") != F.col("normal_value"))).select("row_id", "field_name", "normal_value")

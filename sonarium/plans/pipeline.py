@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from sonarium.operators import state, votes
 from sonarium.plans.fusion import RULES
 from sonarium.schema import REQUIRED, TAG_FIELDS
-from sonarium.session import shared_dir, table
+from sonarium.session import fresh_path, table
 from sonarium.sources import files, providers
 from sonarium.streaming import jobs
 
@@ -53,25 +51,21 @@ def paid_candidates(spark, sf_dir):
     return files.paid_candidates(table(spark, sf_dir, "smoke_final_completed"), ["bpm", "isrc", "key"]).select("row_id", "paid_candidate_reason")
 
 
-def _folder(spark, what):
-    return f"{shared_dir(spark).rstrip('/')}/{what}_{next(tempfile._get_candidate_names())}"
-
-
 def incremental_dedup(spark, sf_dir):
     """X-05: the events replayed as a stream into an emit-once table."""
     e = table(spark, sf_dir, "events")
-    to = _folder(spark, "seen")
+    to = fresh_path(spark, "seen")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    jobs.run_once(stream.select("user_id", "event_type").withColumn("pair", F.concat_ws(":", "user_id", "event_type")), jobs.emit_once(to, "pair"), _folder(spark, "check"))
+    jobs.run_once(stream.select("user_id", "event_type").withColumn("pair", F.concat_ws(":", "user_id", "event_type")), jobs.emit_once(to, "pair"), fresh_path(spark, "check"))
     return spark.read.parquet(to).select("user_id", "event_type")
 
 
 def incremental_state(spark, sf_dir):
     """X-03: the events replayed into a log, and its current view."""
     e = table(spark, sf_dir, "events")
-    to = _folder(spark, "log")
+    to = fresh_path(spark, "log")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    jobs.run_once(stream.select("user_id", "event_id", "event_type"), jobs.upsert_log(to), _folder(spark, "check"))
+    jobs.run_once(stream.select("user_id", "event_id", "event_type"), jobs.upsert_log(to), fresh_path(spark, "check"))
     return jobs.current(spark, to, ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonarium.functions import numbers, text, validity
-from sonarium.operators import matching, records, state
+from sonarium.operators import catalog, matching, portal, records, state
+from sonarium.operators.timestamps import with_root
 from sonarium.session import table
 
 
@@ -90,31 +91,50 @@ def round_robin_assign(spark, sf_dir):
 
 
 def split_groups(spark, sf_dir):
-    roots = [r.root for r in _t(spark, sf_dir, "library_roots").select("root").limit(1000).collect()]
-    d = _t(spark, sf_dir, "smoke_final_completed").select(records.folder_group(F.col("file_path"), roots).alias("folder"))
+    d = with_root(_t(spark, sf_dir, "smoke_final_completed").select("file_path"), "file_path", _t(spark, sf_dir, "library_roots"), "root", "root")
+    d = d.select(records.folder_group(F.col("file_path"), F.col("root")).alias("folder"))
     return d.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _facts(spark, sf_dir):
-    """The duration of each file by its last scan."""
-    d = _t(spark, sf_dir, "media_inventory").select("path", "duration_seconds", "scanned_at", "scan_id")
-    return state.last_wins(d, ["path"], ["scanned_at", "scan_id"]).select("path", "duration_seconds")
+    """What the last scan of each file measured and read: its duration, and the title and artist in its tags."""
+    d = _t(spark, sf_dir, "media_inventory").select("path", "duration_seconds", "tags_json", "scanned_at", "scan_id")
+    last = state.last_wins(d, ["path"], ["scanned_at", "scan_id"])
+    return last.select("path", "duration_seconds", *[text.squeeze(F.get_json_object("tags_json", f"$.{c}")).alias(c) for c in ("title", "artist")])
+
+
+def _portal(spark, sf_dir):
+    d = with_root(_t(spark, sf_dir, "smoke_final_completed"), "file_path", _t(spark, sf_dir, "library_roots"), "root", "_at")
+    entries = catalog.dimension(_t(spark, sf_dir, "genre_catalog").select(F.col("genre_id").alias("ord"), "name"))
+    said = portal.text_languages(_t(spark, sf_dir, "documents"), "file_path", "text", "lang")
+    languages = d.select("row_id", "file_path").join(said, "file_path").select("row_id", "language")
+    return portal.portal_rows(d, entries, _facts(spark, sf_dir), languages, root="_at")
+
+
+def portal_rows(spark, sf_dir):
+    """C-09 to C-18 and R-02: every report row as a portal row."""
+    return _portal(spark, sf_dir)
 
 
 def portal_convert(spark, sf_dir):
-    return records.convert(_t(spark, sf_dir, "smoke_final_completed"), facts=_facts(spark, sf_dir))
+    return records.convert(_portal(spark, sf_dir))
 
 
 def portal_counters(spark, sf_dir):
-    d = _t(spark, sf_dir, "smoke_final_completed")
-    return records.converter_counters(d, records.convert(d, facts=_facts(spark, sf_dir)))
+    return records.converter_counters(_t(spark, sf_dir, "smoke_final_completed"), records.convert(_portal(spark, sf_dir)))
 
 
 def portal_issues(spark, sf_dir):
-    d = records.portal_rows(_t(spark, sf_dir, "smoke_final_completed"), facts=_facts(spark, sf_dir))
+    d = _portal(spark, sf_dir)
     return d.select(F.explode(records.portal_issues(d)).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def factual_issues(spark, sf_dir):
+    """P-15 over the portal rows."""
+    d = _portal(spark, sf_dir)
+    return d.select(F.explode(records.factual_issues(d)).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rebuilt_tags(spark, sf_dir):
     d = _t(spark, sf_dir, "smoke_final_completed")
     return d.select("row_id", records.rebuilt_tags(d, {"weather": "all weather", "season": "all season", "age_group": "general"}).alias("tag"))
@@ -147,7 +167,7 @@ def track_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     last_wins_state, compaction_ratio, first_seen, ttl_cache_hits, resume_pending, first_value_propagation, budget_cap, top_per_key, best_row_per_key, distinct_then_filter, circuit_breaker_runs,
-    provider_metrics, stage_summary, round_robin_assign, split_groups, portal_convert, portal_counters, portal_issues, rebuilt_tags, validity_issues, tag_split, clock_times, number_fields, track_windows,
+    provider_metrics, stage_summary, round_robin_assign, split_groups, portal_rows, portal_convert, portal_counters, portal_issues, factual_issues, rebuilt_tags, validity_issues, tag_split, clock_times, number_fields, track_windows,
 )}
 
 SQL = {

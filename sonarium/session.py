@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,21 +36,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made by this process where none is set, and the tables it stored, by application.
+_OWN: dict[str, str] = {}
+_STORED: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a folder of
+    its own, removed at the end of the process; on a cluster its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sonarium_")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sonarium_")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
+    return _OWN[app]
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}_{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and survives the loss of an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}_{uuid.uuid4().hex}"
+    path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote and that no frame in use reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _STORED[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables this application stored and returns their number; to be called when no result of an operator is read any more."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

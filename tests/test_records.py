@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sonarium.functions import numbers
-from sonarium.operators import intake, labels, records, state, web
+from sonarium.operators import catalog, intake, labels, portal, records, state, web
 from sonarium.schema import FINAL_COLUMNS, PORTAL_COLUMNS
 
 
@@ -18,17 +18,23 @@ def _report(spark, *rows):
     return spark.createDataFrame([tuple(r[c] for c in ["row_id", *FINAL_COLUMNS]) for r in full], "row_id bigint, " + ", ".join(f"`{c}` string" for c in FINAL_COLUMNS))
 
 
+def _catalog(spark):
+    return catalog.dimension(spark.createDataFrame([(1, "Dance"), (2, "House"), (3, "Electronic")], "ord int, name string"))
+
+
 def test_convert(spark):
-    base = {"title": "Song", "artist": "Ann", "genre": "dance, electronic", "language": "English", "year": "2020", "bpm": "120", "vocals": "vocal", "moods": "Upbeat; upbeat; Ann"}
+    base = {"title": "Song", "artist": "Ann", "genre": "dance, electronic", "language": "English", "year": "2020", "bpm": "120", "vocals": "vocal", "moods": "Upbeat; upbeat; Ann; general", "file_path": "/f"}
     d = _report(
         spark, base | {"filename": "Ann - Song.mp3"}, base | {"filename": "ann – song.MP3", "language": ""}, base | {"filename": "x.mp3", "genre": "House"},
         base | {"filename": "y.mp3", "title": "Bad", "artist": "12", "language": ""},
     )
-    got = records.convert(d).collect()
-    assert len(got) == 1 and got[0].tag == "Upbeat" and got[0].genre == "dance" and got[0].seq == 1
+    facts = spark.createDataFrame([("/f", 196)], "path string, duration_seconds int")
+    rows = lambda x: portal.portal_rows(x, _catalog(spark), facts)
+    got = records.convert(rows(d)).collect()
+    assert len(got) == 1 and got[0].tag == "Upbeat" and got[0].genre == "Dance" and got[0].seq == 1 and got[0].time == "00:03:16"
     assert set(PORTAL_COLUMNS) < set(got[0].asDict())
-    assert records.convert(d, strict=False).count() == 2
-    assert records.convert(d.limit(0)).count() == 0
+    assert records.convert(rows(d), strict=False).count() == 2
+    assert records.convert(rows(d.limit(0))).count() == 0
 
 
 def test_logs(spark):
@@ -52,6 +58,14 @@ def test_pending(spark):
 def test_propagation_keeps_blank_first(spark):
     d = spark.createDataFrame([("s", 1, ""), ("s", 2, "Pop"), ("::", 1, "A"), ("::", 2, "B")], "k string, o int, g string")
     assert [r.x for r in state.propagated(d, "k", ["o"], "g", "x", "::").orderBy("k", "o").collect()] == ["A", "B", "", ""]
+    d = spark.createDataFrame([(None, 1, "N"), (None, 2, "M"), ("s", 3, "S")], "k string, o int, g string")
+    assert [r.x for r in state.propagated(d, "k", ["o"], "g", "x").orderBy("o").collect()] == ["N", "N", "S"]
+
+
+def test_last_wins_with_maps(spark):
+    d = spark.createDataFrame([("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("b", 5, None)], "k string, o int, m map<string,string>")
+    assert {r.k: r.m for r in state.last_wins(d, ["k"], ["o"]).collect()} == {"a": {"x": "2"}, "b": None}
+    assert {r.k: r.m for r in state.first_per_key(d, ["k"], ["o"]).collect()} == {"a": {"x": "1"}, "b": None}
 
 
 def test_web(spark):

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sonarium.operators.timestamps import date_cases, estimate_zones, normal_dates, normal_years, with_root_zone
+from sonarium.operators.timestamps import date_cases, estimate_zones, normal_dates, normal_years, with_root
 
 DATES = {
     "2020-09-10T03:33:43+02:00": "2020-09-10T01:33:43Z", "20201016": "2020-10-16", "20120325T025643Z": "2012-03-25T02:56:43Z", "17/02/2019 23:21": "2019-02-17T22:21:00Z",
@@ -40,7 +40,7 @@ def test_cases_take_the_zone_of_the_root(spark):
 def test_root_needs_a_whole_folder(spark):
     roots = spark.createDataFrame([("/a", "UTC"), ("/a/b", "Asia/Tokyo")], "root string, time_zone string")
     d = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("/x",)], "file_path string")
-    assert {r.file_path: r.z for r in with_root_zone(d, "file_path", roots, "z").collect()} == {"/a/b/c": "Asia/Tokyo", "/a/bc": "UTC", "/x": None}
+    assert {r.file_path: r.z for r in with_root(d, "file_path", roots, "time_zone", "z").collect()} == {"/a/b/c": "Asia/Tokyo", "/a/bc": "UTC", "/x": None}
 
 
 def test_zone_estimate(spark):
@@ -50,3 +50,16 @@ def test_zone_estimate(spark):
     d = spark.createDataFrame(rows, "s string, l timestamp_ntz, a timestamp")
     got = {r.source: (r.time_zone, r.violations) for r in estimate_zones(d, "s", "l", "a", ["UTC", "Asia/Tokyo", "America/New_York"], 2).collect()}
     assert got == {"t": ("Asia/Tokyo", 0), "n": ("America/New_York", 0)}
+
+
+def test_roots_of_many_depths(spark):
+    roots = ["/r" * n for n in range(1, 61)]
+    r = spark.createDataFrame([(x, f"Zone/{i}") for i, x in enumerate(roots, 1)], "root string, time_zone string")
+    d = spark.createDataFrame([(x + "/file",) for x in roots], "file_path string")
+    assert [int(x.z.split("/")[1]) for x in with_root(d, "file_path", r, "time_zone", "z").orderBy(F.length("file_path")).collect()] == list(range(1, 61))
+
+
+def test_very_many_roots(spark):
+    r = spark.range(2500).select(F.format_string("/root%d/", "id").alias("root"))
+    d = spark.range(0, 2500, 500).select(F.format_string("/root%d/a/b.mp3", "id").alias("p"))
+    assert {x.p: x.z for x in with_root(d, "p", r, "root", "z").collect()} == {f"/root{i}/a/b.mp3": f"/root{i}" for i in range(0, 2500, 500)}
