@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.functions.numbers import clamp
 from sonarium.functions.text import pretty_label
-from sonarium.session import small
+from sonarium.session import BROADCAST_ROWS, small
 
 #: Most values of each field (T-11).
 LIMITS = {"genre": 1, "subgenre": 4, "moods": 6, "themes": 6, "occasion": 3, "instruments": 8}
@@ -67,23 +69,62 @@ def prompt_best(scored: DataFrame) -> DataFrame:
     return d.select("item", "label", "b.score", "b.prompt", "prompts")
 
 
-def zero_shot(items: DataFrame, labels: DataFrame, most: int, scale: float = 100.0) -> DataFrame:
+def zero_shot(items: DataFrame, labels: DataFrame, most: int, scale: float = 100.0, block: int = BROADCAST_ROWS) -> DataFrame:
     """M-08, T-10: ``(item, label, rank, share)``: the ``most`` labels nearest to each item by cosine, with their softmax share over all labels.
 
-    ``labels(label, vector)`` is a vocabulary of prompts; up to BROADCAST rows travel as one array row to every task, and
-    each item is scored in place, without a pair ever being shuffled. A larger list is refused: it would be an index search.
+    ``labels(label, vector)`` is a vocabulary of prompts of any size, each label once. Blocks of about ``block`` labels travel to every task one
+    after the other, as a matrix of that many rows; each block gives an item's best labels and the sum of its shares, which
+    are merged by a partial aggregate, so no pair is ever shuffled. Ties go to the smallest label; a null or zero vector on
+    either side has a cosine of -1.
     """
-    from sonarium.functions.numbers import cosine, softmax
-    from sonarium.session import BROADCAST_ROWS
-
-    if labels.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many labels for zero-shot scoring")
-    table = labels.agg(F.array_sort(F.collect_list(F.struct("label", "vector"))).alias("_labels"))
-    d = items.join(F.broadcast(table), how="cross").withColumn("_s", F.transform("_labels", lambda l: F.coalesce(cosine(F.col("vector"), l["vector"]), F.lit(-1.0))))
-    d = d.withColumn("_p", softmax(F.col("_s"), scale))
-    each = F.transform("_labels", lambda l, i: F.struct((-F.get("_s", i)).alias("s"), l["label"].alias("label"), F.get("_p", i).alias("share")))
-    top = d.select("item", F.posexplode(F.slice(F.array_sort(each), 1, most)).alias("rank", "t"))
-    return top.select("item", F.col("t.label").alias("label"), (F.col("rank") + 1).alias("rank"), F.col("t.share").alias("share"))
+    spark = items.sparkSession
+    blocks = labels.count() // block + 1
+    label_type, item_type = labels.schema["label"].dataType, items.schema["item"].dataType.simpleString()
+    shape = f"item {item_type}, top array<struct<s:double,label:{label_type.simpleString()}>>, high double, total double"
+    parts = None
+    for i in range(blocks):
+        own = labels.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i) if blocks > 1 else labels
+        rows = sorted(own.select("label", "vector").collect(), key=lambda r: r.label)  # a block
+        if not rows:
+            continue
+        width = max((len(r.vector) for r in rows if r.vector is not None), default=0)
+        matrix = np.array([r.vector if r.vector is not None else [0.0] * width for r in rows], float).reshape(len(rows), width)
+        shared = spark.sparkContext.broadcast(([r.label for r in rows], matrix))
+        part = items.select("item", "vector").mapInPandas(_nearest(shared, most, scale), shape)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return spark.createDataFrame([], f"item {item_type}, label {label_type.simpleString()}, rank int, share double")
+    if blocks > 1:
+        each = F.array_sort(F.flatten(F.collect_list("top")), lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["label"] < b["label"], -1).otherwise(1))
+        high = parts.groupBy("item").agg(F.max("high").alias("_h"))
+        joined = parts.join(high, "item").withColumn("total", F.col("total") * F.exp(F.col("high") - F.col("_h")))
+        parts = joined.groupBy("item").agg(F.slice(each, 1, most).alias("top"), F.max("_h").alias("high"), F.sum("total").alias("total"))
+    best = parts.select("item", "high", "total", F.posexplode("top").alias("rank", "t"))
+    return best.select("item", F.col("t.label").alias("label"), (F.col("rank") + 1).alias("rank"), (F.exp(scale * F.col("t.s") - F.col("high")) / F.col("total")).alias("share"))
+
+
+def _nearest(shared, most: int, scale: float):
+    """Per Arrow batch: the best labels of each item, the highest scaled cosine and the sum of the exponentials below it."""
+    def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.linalg.norm(m, axis=1)
+        return m / np.where(n > 0, n, 1)[:, None], n > 0
+
+    def run(batches):
+        names, matrix = shared.value
+        known, there = unit(matrix)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rows = np.array([v if v is not None and len(v) == matrix.shape[1] else np.zeros(matrix.shape[1]) for v in pdf["vector"]], float).reshape(len(pdf), -1)
+            own, given = unit(rows)
+            cosine = np.where(given[:, None] & there[None, :], own @ known.T, -1.0)
+            order = np.argsort(-cosine, axis=1, kind="stable")[:, :most]
+            high = scale * cosine.max(axis=1)
+            total = np.exp(scale * cosine - high[:, None]).sum(axis=1)
+            top = [[{"s": float(c[j]), "label": names[j]} for j in o] for c, o in zip(cosine, order)]
+            yield pd.DataFrame({"item": pdf["item"], "top": top, "high": high, "total": total})
+
+    return run
 
 
 def accepted_voice(scores: DataFrame, least: float, margin: float) -> DataFrame:

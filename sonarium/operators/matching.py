@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.text import clean_track, key_match, split_pair
+from sonarium.session import held
 
 
 def candidate_pairs(filename: Column, title: Column, artist: Column, album: Column, most: int = 4) -> Column:
@@ -37,20 +38,22 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+    memory = {}
+    for pair in set(zip(a, b)):
+        memory[pair] = None if pair[0] is None else SequenceMatcher(None, *pair).ratio()
+    return pd.Series([memory[pair] for pair in zip(a, b)], dtype=float)
 
 
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """F-14: ``df`` with the similarity of two text columns: containment in the JVM, the matching-blocks ratio for the rest.
 
-    The rest goes through an Arrow UDF in a branch of its own, so rows that containment decides never leave the JVM.
+    The rest goes through an Arrow UDF, whose arguments are null where containment decides; equal pairs of a batch are compared once.
     """
-    keyed = df.withColumn("_a", key_match(F.coalesce(F.col(a), F.lit("")))).withColumn("_b", key_match(F.coalesce(F.col(b), F.lit(""))))
-    known = keyed.withColumn(out, containment(F.col("_a"), F.col("_b")))
-    ratio = F.pandas_udf(_ratio, "double")
-    done = known.where(F.col(out).isNotNull())
-    rest = known.where(F.col(out).isNull()).withColumn(out, ratio("_a", "_b"))
-    return done.unionByName(rest).drop("_a", "_b")
+    d = held(df, _a=key_match(F.coalesce(F.col(a), F.lit(""))), _b=key_match(F.coalesce(F.col(b), F.lit(""))))
+    d = held(d, _known=containment(F.col("_a"), F.col("_b")))
+    open_ = F.col("_known").isNull()
+    ratio = F.pandas_udf(_ratio, "double")(F.when(open_, F.col("_a")), F.when(open_, F.col("_b")))
+    return d.withColumn(out, F.coalesce(F.col("_known"), ratio)).drop("_a", "_b", "_known")
 
 
 def plausible(title: Column, artist: Column, least_title: float = 0.55, least_artist: float = 0.45) -> Column:
@@ -78,17 +81,24 @@ def best_release(releases: Column) -> Column:
 
 
 def match_blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, artist: str) -> DataFrame:
-    """J-05: for each left row the best plausible right row, both with ``title`` and ``artist``.
+    """J-05: for each left row the best plausible right row, both with ``title`` and ``artist``, the smallest id on ties.
 
-    Candidates share a token of the title's key: an equality join on exploded tokens, never a cross join. Each token is
-    weighted by nothing; tokens that a third of all rows hold are split by adaptive execution.
+    Candidates share a token of the title's key: an equality join on exploded tokens, never a cross join. Titles and artists
+    that repeat are compared once: the join is one of distinct pairs, the right ones with their smallest id, and its result
+    is given to all left rows. What tokens that a third of all titles hold bring together is split by adaptive execution.
     """
-    tokens = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns], F.explode(F.array_distinct(F.split(key_match(F.col(title)), " "))).alias("token")).where(F.col("token") != "")
-    l, r = tokens(left.select(left_id, title, artist), "l_"), tokens(right.select(right_id, title, artist), "r_")
+    word = F.explode(F.array_distinct(F.split(key_match(F.col(title)), " "))).alias("token")
+    names = lambda p: [F.col(title).alias(p + title), F.col(artist).alias(p + artist)]
+    l = left.select(title, artist).distinct().select(*names("l_"), word).where(F.col("token") != "")
+    r = right.groupBy(title, artist).agg(F.min(right_id).alias("r_" + right_id)).select(*names("r_"), "r_" + right_id, word).where(F.col("token") != "")
     pairs = l.join(r, "token").drop("token").distinct()
     scored = with_similarity(with_similarity(pairs, "l_" + title, "r_" + title, "title_score"), "l_" + artist, "r_" + artist, "artist_score")
     scored = scored.withColumn("artist_score", F.when(F.coalesce(F.col("l_" + artist), F.lit("")) == "", F.lit(0.65)).otherwise(F.col("artist_score")))
-    return best_candidates(scored, "l_" + left_id, order="r_" + right_id)
+    best = best_candidates(scored.withColumn("_names", F.struct("l_" + title, "l_" + artist)), "_names", order="r_" + right_id)
+    rows = left.select(F.col(left_id).alias("l_" + left_id), F.col(title).alias("_t"), F.col(artist).alias("_a"))
+    best = best.drop("l_" + title, "l_" + artist).withColumns({"l_" + title: F.col(f"_names.l_{title}"), "l_" + artist: F.col(f"_names.l_{artist}")}).drop("_names")
+    same = F.col("_t").eqNullSafe(F.col("l_" + title)) & F.col("_a").eqNullSafe(F.col("l_" + artist))
+    return rows.join(best, same).drop("_t", "_a")
 
 
 def ranked(df: DataFrame, key: list[str], order: list, most: int = 1) -> DataFrame:

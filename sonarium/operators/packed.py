@@ -33,35 +33,38 @@ def with_values(df: DataFrame, value: str, out: str) -> DataFrame:
     parts that are empty, within quotes too, are skipped. The steps are projections of their own, so that the spans are
     found once a row and not once a part; texts without a quote mark skip the search for spans.
     """
+    T = {n: f"_packed_{out}_{n}" for n in ("text", "spans", "leads", "masked", "parts")}  # names that no caller's column has
+    if set(T.values()) & set(df.columns):
+        raise ValueError(f"columns named like intermediate ones: {sorted(set(T.values()) & set(df.columns))}")
     raw = F.col(value)
     body = F.regexp_replace(F.regexp_replace(raw, r"^\s*\[|\]\s*$", ""), r'\\"', '""')
     body = F.regexp_replace(body, r"\\\\", r"\\")
     text = F.when(raw.rlike(r'^\s*\[\s*".*"\s*\]\s*$'), body).otherwise(raw)
     text = F.replace(text, F.lit(OPEN), F.lit(ESCAPED))
-    quoted = F.col("_text").rlike("[\"']")
+    quoted = F.col(T["text"]).rlike("[\"']")
     none = F.array().cast("array<string>")
     masked = F.array_join(
         F.transform(
-            F.split("_text", SPAN, -1),
-            lambda p, i: F.when(i < F.size("_spans"), F.concat(p, F.get("_leads", i), F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p),
+            F.split(T["text"], SPAN, -1),
+            lambda p, i: F.when(i < F.size(T["spans"]), F.concat(p, F.get(T["leads"], i), F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p),
         ),
         "",
     )
 
     def restored(part: Column) -> Column:
         index = F.regexp_extract(part, f"^{OPEN}([0-9]+){CLOSE}$", 1)
-        return F.when(index != "", F.get("_spans", index.try_cast("int"))).otherwise(part)
+        return F.when(index != "", F.get(T["spans"], index.try_cast("int"))).otherwise(part)
 
-    split = F.transform(F.split("_masked", DELIMITER, -1), lambda p: F.regexp_replace(p, EDGE, ""))
+    split = F.transform(F.split(T["masked"], DELIMITER, -1), lambda p: F.regexp_replace(p, EDGE, ""))
     return (
-        df.withColumn("_text", text)
-        .withColumn("_spans", F.when(quoted, F.regexp_extract_all("_text", F.lit(SPAN), F.lit(2))).otherwise(none))
-        .withColumn("_leads", F.when(F.size("_spans") > 0, F.regexp_extract_all("_text", F.lit(SPAN), F.lit(1))).otherwise(none))
-        .withColumn("_masked", F.when(F.size("_spans") > 0, masked).otherwise(F.col("_text")))
-        .withColumn("_spans", F.transform("_spans", _without_quotes))
-        .withColumn("_parts", split)
-        .withColumn(out, F.filter(F.transform("_parts", lambda p: F.replace(restored(p), F.lit(ESCAPED), F.lit(OPEN))), lambda x: x != ""))
-        .drop("_text", "_spans", "_leads", "_masked", "_parts")
+        df.withColumn(T["text"], text)
+        .withColumn(T["spans"], F.when(quoted, F.regexp_extract_all(T["text"], F.lit(SPAN), F.lit(2))).otherwise(none))
+        .withColumn(T["leads"], F.when(F.size(T["spans"]) > 0, F.regexp_extract_all(T["text"], F.lit(SPAN), F.lit(1))).otherwise(none))
+        .withColumn(T["masked"], F.when(F.size(T["spans"]) > 0, masked).otherwise(F.col(T["text"])))
+        .withColumn(T["spans"], F.transform(T["spans"], _without_quotes))
+        .withColumn(T["parts"], split)
+        .withColumn(out, F.filter(F.transform(T["parts"], lambda p: F.replace(restored(p), F.lit(ESCAPED), F.lit(OPEN))), lambda x: x != ""))
+        .drop(T["text"], T["spans"], T["leads"], T["masked"], T["parts"])
     )
 
 

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonarium.functions import text
-from sonarium.operators import intake, labels, web
+from sonarium.operators import intake, labels, portal, state, web
 from sonarium.session import table
 
 PAGE = '<html><head><meta property="og:title" content="{t}"><script type="application/ld+json">{{"name": "{t}", "byArtist": {{"name": "{a}"}}, "genre": "{g}"}}</script></head><body><table><tr><th>Release date</th><td>{d}</td></tr></table><dl><dt>Record label</dt><dd>{l}</dd></dl></body></html>'
 LABELS = {"date": ["release date", "released"], "label": ["label"], "genre": ["genre"]}
-# The suffixes of media files, and the words that tell three languages apart.
+# The suffixes of media files.
 MEDIA_SUFFIXES = [".mp3", ".mp4", ".m4a", ".aac", ".flac", ".wav", ".wma", ".ogg"]
-MARKERS = {
-    "da": "arbejdsplads behøver dæmoner dig græder hvad jer kærlighed køre kvinde ligesom mænd mig nogen noget sådan smukkest stadig tænker uden",
-    "no": "arbeidsplass deg dere fortsatt gråter hva kjærlighet kjøre kvinne liksom meg menn noe noen sånn tenker uten våre",
-    "sv": "aldrig att dig eftersom från inte jag kvinna men mig någon något och ska tänker utan",
-}
+MARKERS = {code: portal.MARKERS[name] for code, name in (("da", "Danish"), ("no", "Norwegian"), ("sv", "Swedish"))}
 DOMAINS = ["discogs.com", "musicbrainz.org", "example.org"]
 
 
@@ -70,13 +66,6 @@ def label_fields(spark, sf_dir):
 
 
 def zero_shot_top3(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    vectors = e.where("vec_id < 40").select(F.col("vec_id").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    items = e.select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return labels.zero_shot(items, vectors, 3).select("item", "label", "rank")
-
-
-def zero_shot_centroids(spark, sf_dir):
     """A-13, M-08, T-10: every embedding against the mean vectors of all labels."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     means = labels.pooled(e.where("label IS NOT NULL"), "label", "vector")
@@ -96,14 +85,7 @@ def prompt_best(spark, sf_dir):
 
 
 def marker_language(spark, sf_dir):
-    """A-16: how many of five words of each of three languages every text has, as its SQL states."""
-    words = {"da": ["og", "ikke", "der", "af", "til"], "no": ["og", "ikke", "av", "til", "jeg"], "sv": ["och", "inte", "av", "till", "jag"]}
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(text.key_plain(F.coalesce("text", F.lit(""))), " ")).alias("t"))
-    return d.select("doc_id", *[F.size(F.array_intersect("t", F.array(*[F.lit(w) for w in ws]))).alias(c) for c, ws in words.items()])
-
-
-def marker_language_whole(spark, sf_dir):
-    """A-16 with the reference's words, accents kept: the counts, and the language that has most, if it is alone."""
+    """A-16: how many marker words of each of three languages every text has, and the language that has most, if it is alone."""
     t = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-zà-ÿ]+)"), F.lit(1)))
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     d = d.select("doc_id", *[F.size(F.array_intersect("t", F.array(*[F.lit(w) for w in ws.split()]))).alias(c) for c, ws in MARKERS.items()])
@@ -111,13 +93,13 @@ def marker_language_whole(spark, sf_dir):
     return d.withColumn("language", F.coalesce(*[F.when(alone(c), c) for c in MARKERS], F.lit("")))
 
 
-def media_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "media_inventory").select(F.lit("all").alias("root"), "path").distinct()
-    return intake.media_files(d, [".mp3", ".wav"], ("_loop",)).select("path")
+def text_languages(spark, sf_dir):
+    """C-16: the language of each file by the codes and marker words of the texts about it."""
+    return portal.text_languages(table(spark, sf_dir, "documents"), "file_path", "text", "lang")
 
 
-def media_scan_whole(spark, sf_dir):
-    """S-01 with the suffixes of the reference's default."""
+def media_scan(spark, sf_dir):
+    """S-01 with the suffixes of media files."""
     d = table(spark, sf_dir, "media_inventory").select(F.lit("all").alias("root"), "path").distinct()
     return intake.media_files(d, MEDIA_SUFFIXES, ("_loop",)).select("path")
 
@@ -129,9 +111,11 @@ def generic_names(spark, sf_dir):
 
 
 def new_files(spark, sf_dir):
-    d = table(spark, sf_dir, "media_inventory").select(F.lit("r").alias("root"), F.col("path").alias("relpath"), "size_bytes", F.floor(F.col("mtime") * 1000).alias("mtime_ns"), "scan_id")
-    known = d.where("scan_id % 2 = 0").withColumnRenamed("relpath", "current_relpath")
-    return intake.new_files(d, known).select("scan_id")
+    """P-19, X-02: the last scan of each file against a manifest of all earlier ones."""
+    d = table(spark, sf_dir, "media_inventory").select(F.lit("r").alias("root"), F.col("path").alias("relpath"), "size_bytes", F.floor(F.col("mtime") * 1000).alias("mtime_ns"), "scanned_at", "scan_id")
+    last = state.last_wins(d, ["relpath"], ["scanned_at", "scan_id"])
+    known = d.join(last.select("scan_id"), "scan_id", "left_anti").withColumnRenamed("relpath", "current_relpath")
+    return intake.new_files(last, known).select("scan_id")
 
 
 def free_names(spark, sf_dir):
@@ -146,7 +130,7 @@ def find_media(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_fields, allowed_domains, domain_consensus, best_artist, tags_payload, label_fields, zero_shot_top3, centroids, prompt_best, marker_language, media_scan, generic_names, new_files, free_names, find_media,
-    zero_shot_centroids, marker_language_whole, media_scan_whole,
+    text_languages,
 )}
 
 _PLAIN = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
@@ -158,13 +142,22 @@ SQL = {
     "allowed_domains": """WITH s AS (SELECT row_id, ['discogs.com','musicbrainz.org','example.org','www.discogs.com','other.net'][row_id % 5 + 1] AS site FROM smoke_final_completed)
         SELECT 'https://' || site || '/p/' || row_id AS url, regexp_replace(site, '^www\\.', '') AS host, regexp_replace(site, '^www\\.', '') <> 'other.net' AS ok FROM s""",
     "prompt_best": "SELECT user_id AS item, event_type AS label, max(value) AS score, arg_max(props, {'v': value, 'p': -event_id}) AS prompt, count(*) AS prompts FROM events GROUP BY 1, 2",
-    "zero_shot_top3": """WITH p AS (SELECT i.vec_id AS item, l.vec_id AS label, list_cosine_similarity(CAST(i.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS s FROM embeddings i, embeddings l WHERE l.vec_id < 40)
+    "zero_shot_top3": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT label, pos, avg(v[pos]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS pos FROM e WHERE label IS NOT NULL) GROUP BY label, pos),
+        c AS (SELECT label, list(m ORDER BY pos) AS m FROM d GROUP BY label), p AS (SELECT vec_id AS item, c.label, list_cosine_similarity(v, m) AS s FROM e, c)
         SELECT item, label, CAST(row_number() OVER (PARTITION BY item ORDER BY s DESC, label) AS INTEGER) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY item ORDER BY s DESC, label) <= 3""",
     "centroids": "SELECT label, len(any_value(embedding)) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS first FROM embeddings WHERE label IS NOT NULL GROUP BY label",
-    "marker_language": f"WITH t AS (SELECT doc_id, list_distinct(string_split({_PLAIN.format(chr(39).join(['coalesce(replace(text, ', 'İ', ', ', 'i', ' || chr(775)), ', '', ')']))}, ' ')) AS t FROM documents) "
-        "SELECT doc_id, len(list_intersect(t, ['og','ikke','der','af','til'])) AS da, len(list_intersect(t, ['og','ikke','av','til','jeg'])) AS no, len(list_intersect(t, ['och','inte','av','till','jag'])) AS sv FROM t",
-    "media_scan": r"SELECT DISTINCT path FROM media_inventory WHERE regexp_matches(lower(path), '\.(mp3|wav)$') AND NOT regexp_matches(replace(lower(path), '\', '/'), '(^|/)_loop/')",
-    "new_files": "WITH d AS (SELECT *, CAST(floor(mtime * 1000) AS BIGINT) AS t FROM media_inventory) SELECT scan_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.scan_id % 2 = 0 AND k.path = d.path AND k.size_bytes = d.size_bytes AND k.t = d.t)",
+    "marker_language": f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(replace(text, 'İ', 'i' || chr(775)), '')), '[a-zà-ÿ]+')) AS t FROM documents),
+        c AS (SELECT doc_id, {', '.join(f"len(list_intersect(t, {ws.split()})) AS {c}" for c, ws in MARKERS.items())} FROM t)
+        SELECT doc_id, da, no, sv, CASE WHEN da > greatest(no, sv) THEN 'da' WHEN no > greatest(da, sv) THEN 'no' WHEN sv > greatest(da, no) THEN 'sv' ELSE '' END AS language FROM c""",
+    "text_languages": f"""WITH t AS (SELECT file_path, lower(trim(lang)) AS code, list_distinct(regexp_extract_all(lower(coalesce(replace(text, 'İ', 'i' || chr(775)), '')), '[a-zà-ÿ]+')) AS t FROM documents WHERE file_path IS NOT NULL),
+        l AS (SELECT * FROM (VALUES {', '.join(str(x) for x in portal.LANGUAGES.items())}) AS l(code, named)), d AS (SELECT t.*, l.named FROM t LEFT JOIN l USING (code)),
+        m AS (SELECT file_path, arg_max(named, {{'n': n, 'x': named}}) AS most FROM (SELECT file_path, named, count(*) AS n FROM d WHERE named IS NOT NULL GROUP BY ALL) GROUP BY file_path),
+        c AS (SELECT file_path, {', '.join(f"sum(len(list_intersect(t, {ws.split()}))) AS {c}" for c, ws in MARKERS.items())} FROM d GROUP BY file_path)
+        SELECT file_path, CASE WHEN da >= 3 AND da > greatest(no, sv) THEN 'Danish' WHEN no >= 3 AND no > greatest(da, sv) THEN 'Norwegian' WHEN sv >= 3 AND sv > greatest(da, no) THEN 'Swedish' ELSE most END AS language FROM c LEFT JOIN m USING (file_path)
+        WHERE greatest(da, no, sv) >= 0 AND language IS NOT NULL""",
+    "media_scan": r"SELECT DISTINCT path FROM media_inventory WHERE regexp_matches(lower(path), '\.(mp3|mp4|m4a|aac|flac|wav|wma|ogg)$') AND NOT regexp_matches(replace(lower(path), '\', '/'), '(^|/)_loop/')",
+    "new_files": """WITH d AS (SELECT *, CAST(floor(mtime * 1000) AS BIGINT) AS t, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, scan_id DESC) AS back FROM media_inventory)
+        SELECT scan_id FROM d WHERE back = 1 AND NOT EXISTS (SELECT 1 FROM d k WHERE k.back > 1 AND k.path = d.path AND k.size_bytes = d.size_bytes AND k.t = d.t)""",
     "best_artist": r"""WITH k AS (SELECT album, row_id AS ord, artist AS name, row_id % 10 AS score, trim(regexp_replace(trim(regexp_replace(replace(lower(replace(trim(regexp_replace(artist, '[\s\x{a0}\x{85}]+', ' ', 'g')), 'İ', 'i' || chr(775))), '&', 'and'), '[^a-z0-9/]+', ' ', 'g')), ' +', ' ', 'g')) AS k
         FROM smoke_final_completed WHERE artist IS NOT NULL AND album IS NOT NULL), b AS (SELECT * FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY album, k ORDER BY score DESC, ord) = 1)
         SELECT album, name, CAST(score AS BIGINT) AS score FROM b QUALIFY row_number() OVER (PARTITION BY album ORDER BY score DESC, ord) = 1""",

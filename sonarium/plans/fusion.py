@@ -73,7 +73,8 @@ def candidate_top1(spark, sf_dir):
     p = p.withColumn("block", F.element_at(F.split("k", " "), -1))
     names = p.groupBy("block", "k").agg(F.min("p_partkey").alias("seq"))
     one = names.select("block", F.col("k").alias("l_k"), F.col("seq").alias("l_id")).join(names.select("block", "k", "seq"), "block").where(F.col("k") != F.col("l_k"))
-    scored = one.withColumn("title_score", F.coalesce(matching.containment(F.col("l_k"), F.col("k")), F.lit(0.6))).withColumn("artist_score", F.lit(0.65))
+    near = 1 - F.levenshtein("l_k", "k") / F.greatest(F.length("l_k"), F.length("k"))
+    scored = one.withColumn("title_score", F.coalesce(matching.containment(F.col("l_k"), F.col("k")), near)).withColumn("artist_score", F.lit(0.65))
     return matching.best_candidates(scored.select("l_id", "seq", "title_score", "artist_score"), "l_id").select("l_id", "seq", F.round("score", 6).alias("score"))
 
 
@@ -102,7 +103,8 @@ def catalog_lists(spark, sf_dir):
     return catalog.normalise_lists(table(spark, sf_dir, "smoke_final_completed"), "row_id", "genre", _catalog(spark, sf_dir))
 
 
-RULES = [("house", {"mood": "upbeat", "energy": "high"}), ("pop", {"mood": "mainstream", "energy": "medium"}), ("jazz", {"mood": "relaxed", "energy": "low"}), ("rock", {"mood": "energetic"}), ("ambient", {"mood": "calm", "weather": "rainy"})]
+#: Rules for the tests and queries; the rules of a library are a parameter.
+RULES = [("techno", {"mood": "driving", "energy": "very high"}), ("folk", {"mood": "earthy"}), ("metal", {"mood": "fierce", "energy": "very high"}), ("blues", {"mood": "wistful", "energy": "soft"}), ("choir", {"mood": "solemn", "weather": "snow"}), ("house", {"energy": "steady"})]
 
 
 def keyword_rules(spark, sf_dir):
@@ -143,8 +145,8 @@ SQL = {
         b AS (SELECT value, arg_min(name, {{'s': -score, 'o': ord}}) AS name FROM s WHERE shared > 0 AND score >= 0.80 GROUP BY value) SELECT v.value, b.name FROM v LEFT JOIN b USING (value)""",
     "keyword_rules": f"WITH g AS (SELECT row_id, lower(concat_ws(' ', genre, subgenre)) AS t FROM smoke_final_completed), h AS ({_CASES}) SELECT row_id, field, arg_min(value, ord) AS value, arg_min(keyword, ord) AS keyword FROM h GROUP BY row_id, field",
     "candidate_top1": """WITH n AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k, min(p_partkey) AS seq FROM part GROUP BY 1), b AS (SELECT *, string_split(k, ' ')[-1] AS block FROM n),
-        p AS (SELECT l.seq AS l_id, r.seq, CASE WHEN contains(l.k, r.k) OR contains(r.k, l.k) THEN greatest(0.7, least(length(l.k), length(r.k)) / greatest(length(l.k), length(r.k))) ELSE 0.6 END AS t FROM b l JOIN b r ON l.block = r.block AND l.k <> r.k)
-        SELECT l_id, arg_max(seq, {'t': t, 's': -seq}) AS seq, round(0.6 * max(t) + 0.4 * 0.65, 6) AS score FROM p GROUP BY l_id""",
+        p AS (SELECT l.seq AS l_id, r.seq, CASE WHEN contains(l.k, r.k) OR contains(r.k, l.k) THEN greatest(0.7, least(length(l.k), length(r.k)) / greatest(length(l.k), length(r.k))) ELSE 1 - levenshtein(l.k, r.k) / greatest(length(l.k), length(r.k)) END AS t FROM b l JOIN b r ON l.block = r.block AND l.k <> r.k)
+        SELECT l_id, arg_max(seq, {'t': t, 's': -seq}) AS seq, round(0.6 * max(t) + 0.4 * 0.65, 6) AS score FROM p WHERE t >= 0.55 GROUP BY l_id""",
     "completion_cascade": "WITH a AS (SELECT row_id, " + ", ".join(f"nullif(trim(CASE WHEN {_ABSENT.format(c)} THEN {c} END), '') AS {c}" for c in ("artist", "album_artist", "composer", "label", "publisher")) + " FROM smoke_final_completed) "
         "SELECT row_id, coalesce(album_artist, artist, '') AS album_artist, coalesce(composer, artist, '') AS composer, coalesce(label, publisher, album_artist, artist, '') AS label, coalesce(publisher, label, '') AS publisher FROM a",
 }

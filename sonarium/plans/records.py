@@ -37,9 +37,11 @@ def ttl_cache_hits(spark, sf_dir):
 
 
 def resume_pending(spark, sf_dir):
-    media = state.last_wins(_t(spark, sf_dir, "media_inventory").select("path", "size_bytes", "mtime", "scanned_at", "scan_id"), ["path"], ["scanned_at", "scan_id"])
-    log = _t(spark, sf_dir, "media_inventory").where("scan_id % 3 = 0").select("path", "size_bytes", "mtime", F.lit("updated").alias("status"), "scan_id", F.col("scan_id").alias("processed_at"))
-    reported = _t(spark, sf_dir, "smoke_final_completed").where("row_id % 2 = 0").select(F.col("file_path").alias("path"))
+    """P-05: the last scan of each file against the state that all earlier scans left, and an earlier stage of the report."""
+    scans = _t(spark, sf_dir, "media_inventory").select("path", "size_bytes", "mtime", "scanned_at", "scan_id")
+    media = state.last_wins(scans, ["path"], ["scanned_at", "scan_id"])
+    log = scans.join(media.select("scan_id"), "scan_id", "left_anti").select("path", "size_bytes", "mtime", F.lit("updated").alias("status"), F.struct("scanned_at", "scan_id").alias("processed_at"))
+    reported = _t(spark, sf_dir, "smoke_final_no_blanks").select(F.col("file_path").alias("path"))
     return state.pending(media, log, reported).select("path")
 
 
@@ -175,10 +177,9 @@ SQL = {
     "compaction_ratio": "SELECT count(*) AS disk_rows, count(DISTINCT path) AS unique_rows, count(*) > count(DISTINCT path) * 1.5 AS compact FROM media_inventory",
     "first_seen": "SELECT file_path, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents WHERE file_path IS NOT NULL GROUP BY file_path",
     "ttl_cache_hits": "WITH m AS (SELECT max(epoch(ts)) AS now FROM events) SELECT event_type AS provider, CAST(user_id AS VARCHAR) AS cache_key, floor(max(now)) - (floor(max(epoch(ts)))) <= 7 * 86400 AS hit FROM events, m GROUP BY event_type, user_id",
-    "resume_pending": """WITH cur AS (SELECT * FROM media_inventory QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, scan_id DESC) = 1),
-        st AS (SELECT * FROM media_inventory WHERE scan_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY scan_id DESC) = 1)
-        SELECT path FROM cur WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.path = cur.path AND st.size_bytes = cur.size_bytes AND abs(st.mtime - cur.mtime) < 0.001)
-        AND path NOT IN (SELECT file_path FROM smoke_final_completed WHERE row_id % 2 = 0)""",
+    "resume_pending": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, scan_id DESC) AS back FROM media_inventory)
+        SELECT path FROM s cur WHERE back = 1 AND NOT EXISTS (SELECT 1 FROM s st WHERE st.back = 2 AND st.path = cur.path AND st.size_bytes = cur.size_bytes AND abs(st.mtime - cur.mtime) < 0.001)
+        AND NOT EXISTS (SELECT 1 FROM smoke_final_no_blanks r WHERE r.file_path = cur.path)""",
     "first_value_propagation": "SELECT event_id, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS first_value FROM events",
     "budget_cap": "SELECT event_id, user_id, value FROM events WHERE value > 50 ORDER BY event_id LIMIT 100",
     "top_per_key": "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3",

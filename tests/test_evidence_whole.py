@@ -21,7 +21,7 @@ def test_zero_shot_against_all_centroids(spark, tmp_path):
     for i, v, _ in rows:
         best = sorted(means, key=lambda x: (-sum(a * b for a, b in zip(_unit(v), means[x])), x))[:3]
         want |= {(i, x, k) for k, x in enumerate(best, 1)}
-    assert {(r.item, r.label, r.rank) for r in evidence.zero_shot_centroids(spark, str(tmp_path)).collect()} == want
+    assert {(r.item, r.label, r.rank) for r in evidence.zero_shot_top3(spark, str(tmp_path)).collect()} == want
 
 
 def test_taken_names_of_all_rows(spark, tmp_path):

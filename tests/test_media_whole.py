@@ -6,13 +6,13 @@ from sonarium.plans import evidence, fusion
 def test_every_suffix(spark, tmp_path):
     paths = [f"/m/x{s}" for s in evidence.MEDIA_SUFFIXES] + ["/m/X.FLAC", "/m/_loop/x.m4a", "/m/x.txt", "/m/mp3"]
     spark.createDataFrame([(p,) for p in paths], "path string").write.parquet(str(tmp_path / "media_inventory.parquet"))
-    assert {r.path for r in evidence.media_scan_whole(spark, str(tmp_path)).collect()} == set(paths[:9])
+    assert {r.path for r in evidence.media_scan(spark, str(tmp_path)).collect()} == set(paths[:9])
 
 
 def test_languages(spark, tmp_path):
     texts = [(1, "Kærlighed, hvad STADIG?"), (2, "Hva med kjærlighet"), (3, "och inte jag"), (4, "dig"), (5, None)]
     spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.da, r.no, r.sv, r.language) for r in evidence.marker_language_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.da, r.no, r.sv, r.language) for r in evidence.marker_language(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 0, 0, "da"), 2: (0, 2, 0, "no"), 3: (0, 0, 3, "sv"), 4: (1, 0, 1, ""), 5: (0, 0, 0, "")}
 
 
