@@ -99,18 +99,17 @@ def _artists_in(payloads: pd.Series) -> pd.Series:
 
 def _given(df: DataFrame, *names: str) -> Column:
     """R-01: the first of the named columns that the table has and that is not blank, cleaned."""
-    return clean_value(first_of(*[F.col(f"`{n}`") for n in names if n in df.columns]))
+    found = [F.col(f"`{n}`") for n in names if n in df.columns]
+    return clean_value(first_of(*found)) if found else F.lit("")
 
 
-def best_provider_artist(columns: list[Column], payloads: list[Column], title: Column, named_title: Column) -> Column:
+def best_provider_artist(columns: Column, payloads: Column, title: Column, named_title: Column) -> Column:
     """C-14, first step: the artist that providers name with the highest score, the first on ties; empty if none is usable.
 
-    A column of a provider scores 4 less a hundredth for each one before it; names in payloads score as artists_in says. A
+    ``columns`` is an array of names, ``payloads`` one of what artists_in gives. A column of a provider scores 4 less a hundredth for each one before it; names in payloads score as artists_in says. A
     name that holds the title, as ``artist - title``, is cut; the title itself, placeholders and very long texts are none.
     """
-    listed = [F.array(F.struct(F.lit(4 - i / 100).alias("score"), c.alias("name"))) for i, c in enumerate(columns)] + payloads
-    if not listed:
-        return F.lit("")
+    listed = F.concat(F.filter(F.transform(columns, lambda c, i: F.struct((F.lit(4.0) - i / 100).alias("score"), c.alias("name"))), lambda x: x["name"] != ""), payloads)
     titles = F.array(key_title(title), key_title(named_title))
 
     def one(x: Column, i: Column) -> Column:
@@ -120,7 +119,7 @@ def best_provider_artist(columns: list[Column], payloads: list[Column], title: C
         return F.struct(x["score"].alias("score"), (-i).alias("order"), cut.alias("name"))
 
     usable = lambda x: usable_artist(x["name"]) & (key_value(x["name"]) != "") & ~F.array_contains(titles, key_value(x["name"])) & (F.length(x["name"]) <= LONGEST)
-    best = F.array_max(F.filter(F.transform(F.concat(*listed), one), usable))
+    best = F.array_max(F.filter(F.transform(listed, one), usable))
     return F.coalesce(best["name"], F.lit(""))
 
 
@@ -145,7 +144,7 @@ def with_names(df: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
     from_name = (F.col("_ft") != "") & (~F.col("_ok") | F.col("_lyrics") | has_lyrics(F.col("_ft")) | agree)
     marked = F.when(F.col("_lyrics") & ~F.contains(F.lower("_bare"), F.lit("(lyrics)")), F.concat("_bare", F.lit(" (Lyrics)"))).otherwise(F.col("_bare"))
     title = F.when(from_name, clean_title(F.col("_ft"))).when(F.col("_ok"), marked).when(usable_title(F.col("_own_title")), clean_title(lyrics_marked(F.col("_own_title")))).otherwise(F.lit(""))
-    d = held(d, _title=title, _named=best_provider_artist([F.get("_columns", i) for i in range(len(ARTIST_COLUMNS))], [F.col("_payloads")], F.col("_given"), F.col("_ft")))
+    d = held(d, _title=title, _named=best_provider_artist(F.col("_columns"), F.col("_payloads"), F.col("_given"), F.col("_ft")))
     doubtful = ~usable_artist(F.col("artist"), own_names) | ~usable_title(F.col("_given")) | ((F.col("_ft") != "") & (F.col("_given") != "") & (key_title(F.col("_ft")) == key_title(F.col("_given"))))
     d = held(d, _doubtful=doubtful)
     own, name = F.col("_own_artist"), F.col("_fa")
