@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.numbers import clock, seconds, tempo
-from sonarium.functions.text import DAMAGE, distinct_values, key_filename, key_title, key_value, path_parts, safe_name, split_dashes, split_values, title_case
-from sonarium.functions.validity import fallback, issues, missing, points, usable_artist, usable_genre, usable_language, usable_title
+from sonarium.functions.text import DAMAGE, key_filename, key_title, key_value, path_parts, safe_name, split_dashes, split_values
+from sonarium.functions.validity import issues, missing, points, usable_artist, usable_genre, usable_language, usable_title
 from sonarium.operators.state import first_per_key, propagated
 from sonarium.session import held
 
@@ -125,13 +125,6 @@ def write_groups(df: DataFrame, group: str, to: str) -> None:
     df.withColumn("group", safe_name(F.col(group))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group").option("header", True).csv(to)
 
 
-def rebuilt_tags(df: DataFrame, defaults: dict[str, str]) -> Column:
-    """C-12, P-22: tags from subgenre, else genre, then moods, then defaults for what is blank, one for each key."""
-    genre = F.when(F.size(split_values(F.col("subgenre"))) > 0, split_values(F.col("subgenre"))).otherwise(split_values(F.col("genre")))
-    rest = [fallback(F.col(c), F.lit(v)) for c, v in defaults.items()]
-    return F.array_join(distinct_values(F.transform(F.concat(genre, split_values(F.col("moods")), F.array(*rest)), lambda t: title_case(t)), key_value), ",")
-
-
 def converter_counters(rows: DataFrame, converted: DataFrame) -> DataFrame:
     """A-08: one row: rows read, distinct file names, rows written."""
     a = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key_filename(F.col("filename"))).alias("files"))

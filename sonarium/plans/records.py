@@ -137,11 +137,6 @@ def factual_issues(spark, sf_dir):
     return d.select(F.explode(records.factual_issues(d)).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rebuilt_tags(spark, sf_dir):
-    d = _t(spark, sf_dir, "smoke_final_completed")
-    return d.select("row_id", records.rebuilt_tags(d, {"weather": "all weather", "season": "all season", "age_group": "general"}).alias("tag"))
-
-
 def validity_issues(spark, sf_dir):
     d = _t(spark, sf_dir, "lineitem")
     found = validity.issues(quantity=F.col("l_quantity") > 45, discount=F.col("l_discount") >= 0.09, returned=F.col("l_returnflag") == "R", tax=F.col("l_tax") > 0.07)
@@ -169,7 +164,7 @@ def track_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     last_wins_state, compaction_ratio, first_seen, ttl_cache_hits, resume_pending, first_value_propagation, budget_cap, top_per_key, best_row_per_key, distinct_then_filter, circuit_breaker_runs,
-    provider_metrics, stage_summary, round_robin_assign, split_groups, portal_rows, portal_convert, portal_counters, portal_issues, factual_issues, rebuilt_tags, validity_issues, tag_split, clock_times, number_fields, track_windows,
+    provider_metrics, stage_summary, round_robin_assign, split_groups, portal_rows, portal_convert, portal_counters, portal_issues, factual_issues, validity_issues, tag_split, clock_times, number_fields, track_windows,
 )}
 
 SQL = {

@@ -171,8 +171,3 @@ def rewrite_checked(df: DataFrame, issue_list: Column, path: str) -> None:
     if bad.limit(1).count():
         raise ValueError(f"rows with issues: {bad.groupBy('i').count().limit(5).collect()}")
     write_report(df, path)
-
-
-def best_source_rows(candidates: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """J-11: candidates with their best source row, or nulls."""
-    return candidates.join(sources, key, "left")
