@@ -117,23 +117,6 @@ def artist_walk(payload: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(plain, nested), lambda x: F.trim(x) != ""))
 
 
-# Where payloads of public catalogues keep their fields.
-PAYLOADS = {
-    "itunes": {"title": "$.trackName", "artist": "$.artistName", "album": "$.collectionName", "genre": "$.primaryGenreName", "date": "$.releaseDate", "track_number": "$.trackNumber", "disc_number": "$.discNumber", "cover_art_url": "$.artworkUrl100"},
-    "deezer": {"title": "$.title", "artist": "$.artist.name", "album": "$.album.title", "isrc": "$.isrc", "bpm": "$.bpm", "date": "$.release_date", "cover_art_url": "$.album.cover_xl"},
-    "lastfm": {"title": "$.name", "artist": "$.artist.name", "album": "$.album.title", "genre": "$.toptags.tag[0].name"},
-    "genius": {"title": "$.title", "artist": "$.primary_artist.name", "cover_art_url": "$.song_art_image_url"},
-    "spotify": {"title": "$.name", "artist": "$.artists[0].name", "album": "$.album.name", "date": "$.album.release_date", "isrc": "$.external_ids.isrc", "cover_art_url": "$.album.images[0].url"},
-    "acoustid": {"title": "$.results[0].recordings[0].title", "artist": "$.results[0].recordings[0].artists[0].name"},
-}
-
-
-def payload_fields(provider: str, payload: Column) -> Column:
-    """R-05: a provider's payload as a map of tag fields, blanks dropped."""
-    entries = [x for f, p in PAYLOADS[provider].items() for x in (F.lit(f), F.get_json_object(payload, p))]
-    return F.map_filter(F.create_map(*entries), lambda _, v: F.coalesce(F.trim(v), F.lit("")) != "")
-
-
 def first_path(payload: Column, paths: list[str]) -> Column:
     """R-06, R-16: the first path that is not blank; a list of texts is joined by commas."""
     def one(p):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sonarium.functions import numbers, text, validity
 from sonarium.operators import votes, web
 from sonarium.session import table
-from sonarium.sources import providers
+from sonarium.sources import providers, remote
 
 
 def _report(spark, sf_dir):
@@ -81,10 +81,22 @@ def content_keys(spark, sf_dir):
 
 
 def payload_fields(spark, sf_dir):
+    """R-05 and G-02: payloads of five providers made from every report row, and the fields read from them again."""
     d = _report(spark, sf_dir)
-    p = F.to_json(F.struct(F.col("title"), F.struct(F.col("artist").alias("name")).alias("artist"), F.struct(F.col("album").alias("title")).alias("album"), F.col("isrc"), F.col("bpm")))
-    m = web.payload_fields("deezer", p)
-    return d.select("row_id", F.explode(m).alias("field", "value"))
+    s = lambda **fields: F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
+    named = lambda c: F.array(F.struct(F.col(c).alias("name")))
+    made = {
+        "deezer": s(title="title", artist=s(name="artist"), album=s(title="album"), isrc="isrc", bpm="bpm"),
+        "itunes": s(trackName="title", artistName="artist", collectionName="album", primaryGenreName="genre", trackNumber="track_number", artworkUrl100="cover_art_url"),
+        "spotify": s(name="title", artists=named("artist"), album=s(name="album", artists=named("album_artist")), external_ids=s(isrc="isrc"), track_number="track_number"),
+        "discogs_release": s(title="album", labels=F.array(s(name="label", catno="catalog_number"))),
+        "wikidata": s(description="title"),
+    }
+    parts = [d.select("row_id", F.lit(p).alias("provider"), F.explode(remote.projected(p, F.to_json(j))).alias("field", "value")) for p, j in made.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def contributors(spark, sf_dir):
@@ -164,7 +176,13 @@ SQL = {
         SELECT row_id, regexp_matches(key, '^[a-g][#b]? (major|minor)$') AS key_ok, {_DATED.format('date')} AS date_ok, {_NUMBER.format('bpm')} AS number_ok, regexp_matches(cover_art_url, '^https?://') AS url_ok, {_GONE.format('composer')} AS gone FROM v""",
     "label_specs": "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'mood' ELSE 'theme' END AS field, 'a ' || trim(mood) || ' song' AS prompt FROM smoke_final_completed",
     "content_keys": "SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY n",
-    "payload_fields": """WITH u AS (UNPIVOT (SELECT row_id, title, artist, album, isrc, bpm FROM smoke_final_completed) ON title, artist, album, isrc, bpm INTO NAME field VALUE value) SELECT row_id, field, value FROM u WHERE trim(value) <> ''""",
+    "payload_fields": "WITH p AS (" + " UNION ALL ".join(
+        f"SELECT row_id, '{p}' AS provider, '{f}' AS field, {_SQUEEZE.format(c)} AS value FROM smoke_final_completed" for p, fields in {
+            "deezer": {"title": "title", "artist": "artist", "album": "album", "isrc": "isrc", "bpm": "bpm"},
+            "itunes": {"title": "title", "artist": "artist", "album": "album", "album_artist": "artist", "genre": "genre", "track_number": "track_number", "cover_art_url": "cover_art_url"},
+            "spotify": {"title": "title", "artist": "artist", "album": "album", "album_artist": "album_artist", "isrc": "isrc", "track_number": "track_number"},
+            "discogs_release": {"album": "album", "label": "label", "catalog_number": "catalog_number"}, "wikidata": {"analysis_summary": "title"},
+        }.items() for f, c in fields.items()) + ") SELECT row_id, provider, field, value FROM p WHERE value <> ''",
     "contributors": "SELECT row_id, trim(composer) AS names FROM smoke_final_completed WHERE composer IS NOT NULL AND artist IS NOT NULL",
     "release_positions": f"""WITH k AS (SELECT row_id, track_number, {_MATCHED.format('title')} AS k, {_MATCHED.format("(title || ' (Official Video)')")} AS o FROM smoke_final_completed)
         SELECT row_id, CASE WHEN k = 'other one' THEN '1' WHEN k = o THEN track_number END AS track, CASE WHEN k = 'other one' THEN 1 WHEN k = o THEN 2 END AS disc FROM k""",
