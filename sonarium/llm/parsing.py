@@ -17,8 +17,8 @@ CONTEXT = RUN + 1 + sum(LIMITS)
 #: No symbol is longer, so no gap between boundaries is.
 GAP = 2 * LIMITS[-1]
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 // 8 * 8 + 5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: Bases of the two window hashes, odd and independent of each other.
+BASES = {1: 0x9E3779B97F4A7C15 // 8 * 8 + 5, 2: 0xD1B54A32D192ED03 // 8 * 8 + 3}
 _SEPARATOR = 0x110000
 
 
@@ -80,16 +80,17 @@ def boundaries(codes: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of windows of a flat code array by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of windows of a flat code array by prefix sums of a polynomial modulo 2**64, in a base of its own for each seed."""
 
     def __init__(self, codes: np.ndarray, seed: int):
         n = len(codes)
-        powers = np.full(n + 1, _BASE, np.uint64)
+        base = BASES[seed]
+        powers = np.full(n + 1, base, np.uint64)
         powers[0] = 1
         np.cumprod(powers, out=powers)
         self._sum = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(codes.astype(np.uint64) + np.uint64(seed)) * powers[:n], out=self._sum[1:])
-        inverse = np.full(n + 1, _INVERSE, np.uint64)
+        inverse = np.full(n + 1, pow(base, -1, 2**64), np.uint64)
         inverse[0] = 1
         self._inverse = np.cumprod(inverse)
 

@@ -175,6 +175,25 @@ def _windows(least: int, buckets: int):
     return run
 
 
+def _every(least: int, buckets: int):
+    """Entries for every window of ``least`` characters, for spans too short to hold a boundary with its surrounding."""
+
+    def run(batches):
+        sender = _Sender(buckets)
+        for batch in batches:
+            for docs, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes, starts = flatten(texts)
+                begin = np.arange(max(0, len(codes) - least))
+                doc = np.searchsorted(starts, begin, side="right") - 1
+                ok = begin + least <= starts[doc + 1] - 1
+                begin, doc = begin[ok], doc[ok]
+                bucket = (Windows(codes, 1).hash(begin, begin + least) >> np.uint64(40)) % np.uint64(buckets)
+                yield from sender.add(bucket, Windows(codes, 2).hash(begin, begin + least), np.array(docs, np.int64)[doc], begin - starts[doc], np.zeros(len(doc)))
+        yield from sender.rows()
+
+    return run
+
+
 def _runs(least: int):
     def collapse(doc, place, _):
         order = np.lexsort((place, doc))
@@ -196,15 +215,18 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     what they stand for, so equal substrings get equal symbols but near their ends, without a table of names and without a
     shuffle per round. Every window of ``least`` characters holds a boundary of top-level symbols with enough text around
     that depends on the window alone; boundaries whose surrounding stands in one document only go no further. For the
-    rest every window belonging to such a boundary is compared exactly, by two independent 64-bit hashes in all.
+    rest every window belonging to such a boundary is compared by a hash of 64 bits, within the bucket that a hash in another
+    base gives its surrounding; the texts themselves are not compared again.
     Boundaries of texts in at least two documents are what travels, as compact blocks; a surrounding that a third of all
     documents hold arrives once a block (see _Sender). Null, empty and short texts have no span; a repeated key counts as
-    one document, copies under different keys as several.
+    one document, copies under different keys as several. Spans shorter than 2 * CONTEXT + GAP need not hold such a
+    boundary; for those every window is an entry, which is as exact and sends more.
     """
-    if least < 2 * CONTEXT + GAP:
-        raise ValueError(f"spans of {2 * CONTEXT + GAP} characters or more")
     docs = df.where(F.length(text) >= least).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    if least < 2 * CONTEXT + GAP:
+        buckets = int(max(16, chars // BUCKET))
+        return _shared(docs.mapInArrow(_every(least, buckets), _ENTRY), buckets, _runs(least))
     buckets = int(max(16, chars // 12 // BUCKET))
     anchors = _shared(docs.mapInArrow(_anchors(least, buckets), _ENTRY), buckets, lambda d, p, e: (d, p, e))
     marks = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("m")).select("doc_id", F.col("m.begin").alias("places"), F.col("m.end").alias("gaps"))

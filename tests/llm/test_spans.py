@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from sonarium.llm import parsing, spans
 
@@ -58,9 +57,22 @@ def test_copies_and_empty(spark):
     assert _found(spark, {1: t, 2: t, 3: t[:250]}) == {1: 400, 2: 400, 3: 250}
     assert _found(spark, {1: t}) == {}
     d = spark.createDataFrame([], "doc_id bigint, text string")
-    assert spans.shared_spans(d, "doc_id", "text").count() == 0
-    with pytest.raises(ValueError):
-        spans.shared_spans(d, "doc_id", "text", 100)
+    assert spans.shared_spans(d, "doc_id", "text").count() == 0 and spans.shared_spans(d, "doc_id", "text", 30).count() == 0
+
+
+def test_short_spans_against_brute_force(spark):
+    rng = random.Random(12)
+    passages = [_random(rng, 45) for _ in range(6)]
+    docs = {k: "".join(_random(rng, rng.randint(0, 60)) + rng.choice(passages)[rng.randint(0, 9) :] for _ in range(rng.randint(0, 4))) for k in range(60)} | {100: None, 101: "", 102: "z" * 80, 103: "z" * 31}
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_chars for r in spans.shared_chars(spans.shared_spans(d, "doc_id", "text", 30)).collect()}
+    assert got == brute(docs, 30) and got[102] == 80 and got[103] == 31
+
+
+def test_hashes_differ_by_base():
+    codes, _ = parsing.flatten(["abba" * 40])
+    at = np.arange(100)
+    assert (parsing.Windows(codes, 1).hash(at, at + 20) != parsing.Windows(codes, 2).hash(at, at + 20)).all()
 
 
 def test_hot_passage_over_many_batches(spark, monkeypatch):
