@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.llm.garbled import LOST, Statistics, no_statistics, repair
-from sonarium.session import small, spread, stored
+from sonarium.session import discard, small, spread, stored
 
 # What stands for no name.
 NOBODY = ("", "needs_review", "unknown", "n/a", "-", "none", "null", "various artists")
@@ -281,6 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    before = label
     while True:
         least = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
         new = label.join(least.withColumnRenamed("a", "node"), "node", "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("least"))
@@ -288,8 +289,10 @@ def components(edges: DataFrame) -> DataFrame:
         new = new.join(jump, "least", "left").select("node", "component", F.least("least", F.coalesce("far", "least")).alias("next"))
         new = stored(new, "labels")
         moved = new.where(F.col("next") != F.col("component")).limit(1).count()
-        label = new.select("node", F.col("next").alias("component"))
+        discard(before)
+        before, label = new, new.select("node", F.col("next").alias("component"))
         if not moved:
+            discard(both)
             return label
 
 
