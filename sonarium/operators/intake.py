@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.functions.text import key_filename, path_parts, squeeze, to_fix_point
+from sonarium.operators.state import numbered
 
 # Noise at the end or in brackets of file names; names that say nothing.
 NOISE = r"(?i)\s*[\[(]\s*(?:official|lyrics?|audio|video|visuali[sz]er|hd|hq|4k|free download|\d+ ?kbps)[^\])]*[\])]"
@@ -21,6 +22,11 @@ def media_files(df: DataFrame, suffixes: list[str], excluded: tuple[str, ...] =
     return kept.orderBy(F.lower("root"), F.lower("path"))
 
 
+def limited(files: DataFrame, most: int | None) -> DataFrame:
+    """T-12: the first ``most`` files by root and path, case ignored; all where it is None or not positive. The limit is the feature: a trial run."""
+    return files if not most or most < 0 else files.orderBy(F.lower("root"), F.lower("path")).limit(most)
+
+
 def selected(files: DataFrame, selection: DataFrame) -> DataFrame:
     """S-03, P-16: the files that a selection names."""
     return files.join(selection.select("path").distinct(), "path", "left_semi")
@@ -63,11 +69,10 @@ def free_names(plan: DataFrame, taken: DataFrame, folder: str = "folder", name:
     """
     parts = path_parts(F.col(name))
     p = plan.withColumn("_base", F.lower(F.col(name))).withColumn("_stem", parts["stem"]).withColumn("_suffix", parts["suffix"])
-    numbered = r"^(.*?)(?: \((\d+)\))?(\.[^.]*)?$"
-    t = taken.select(folder, F.lower(F.concat(F.regexp_extract(name, numbered, 1), F.regexp_extract(name, numbered, 3))).alias("_base"), F.coalesce(F.regexp_extract(name, numbered, 2).try_cast("int"), F.lit(1)).alias("_n"))
+    with_number = r"^(.*?)(?: \((\d+)\))?(\.[^.]*)?$"
+    t = taken.select(folder, F.lower(F.concat(F.regexp_extract(name, with_number, 1), F.regexp_extract(name, with_number, 3))).alias("_base"), F.coalesce(F.regexp_extract(name, with_number, 2).try_cast("int"), F.lit(1)).alias("_n"))
     high = t.groupBy(folder, "_base").agg(F.max("_n").alias("_high"))
-    w = Window.partitionBy(folder, "_base").orderBy(order)
-    p = p.join(high, [folder, "_base"], "left").withColumn("_no", F.row_number().over(w) + F.coalesce("_high", F.lit(0)))
+    p = numbered(p, [folder, "_base"], order, "_no").join(high, [folder, "_base"], "left").withColumn("_no", F.col("_no") + F.coalesce("_high", F.lit(0)))
     final = F.when(F.col("_no") == 1, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), F.col("_no").cast("string"), F.lit(")"), "_suffix"))
     return p.withColumn(name, final).drop("_base", "_stem", "_suffix", "_high", "_no")
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.functions.numbers import clock, seconds, tempo
 from sonarium.functions.text import DAMAGE, key_filename, key_title, key_value, path_parts, safe_name, split_dashes, split_values
 from sonarium.functions.validity import issues, missing, points, usable_artist, usable_genre, usable_language, usable_title
-from sonarium.operators.state import first_per_key, propagated
+from sonarium.operators.state import first_per_key, numbered, propagated
 from sonarium.session import held
 
 #: Where rows go that no folder claims.
@@ -103,12 +103,11 @@ def convert(d: DataFrame, strict: bool = True) -> DataFrame:
 def round_robin(tagged: DataFrame, groups: DataFrame, key: str, order: str, group: str, keep_unmatched: bool = True) -> DataFrame:
     """J-04: the i-th row of a key gets the i-th of that key's groups, turning over; rows without one get ``_unmatched`` or are left out.
 
-    Rows are ranked within their key; a group's turn is the rank modulo the number of groups, an equality join on (key, turn).
+    Rows are ranked within their key, a hot one in blocks; a group's turn is the rank modulo the number of groups, an equality join on (key, turn).
     """
-    w = lambda o: Window.partitionBy(key).orderBy(o)
-    g = groups.select(key, F.col(order).alias("_o"), F.col(group).alias("_g")).withColumn("_turn", F.row_number().over(w("_o")) - 1).drop("_o")
+    g = numbered(groups.select(key, F.col(order).alias("_o"), F.col(group).alias("_g")), [key], "_o", "_turn").withColumn("_turn", F.col("_turn") - 1).drop("_o")
     n = g.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    d = tagged.withColumn("_rank", F.row_number().over(w(order)) - 1).join(n, key, "left").withColumn("_turn", (F.col("_rank") % F.col("_n")).cast("int"))
+    d = numbered(tagged, [key], order, "_rank").join(n, key, "left").withColumn("_turn", ((F.col("_rank") - 1) % F.col("_n")).cast("int"))
     d = d.join(g, [key, "_turn"], "left").withColumn(group, F.coalesce("_g", F.lit(UNMATCHED))).drop("_rank", "_n", "_turn", "_g")
     return d if keep_unmatched else d.where(F.col(group) != UNMATCHED)
 

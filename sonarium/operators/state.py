@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Statuses of a finished file, and the tolerance within which two modification times are one.
 DONE, CLOCK = ("dry_run_done", "updated", "no_change"), 0.001
@@ -82,10 +83,43 @@ def first_gated(df: DataFrame, gate: Column, order: list[str], most: int) -> Dat
     return df.where(gate).orderBy(*order).limit(most)
 
 
+#: Rows that one task takes through a window, about: a key with more is split into ranges of its order.
+WINDOW_ROWS = 1_000_000
+
+
+def running_sum(df: DataFrame, key: list[str], order: str, value: Column, out: str, rows: int | None = None) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the rows of its key up to it by the numeric column ``order``, in which a key's rows differ.
+
+    The range of ``order`` is cut into blocks of about ``rows`` rows; sums before a block come from one small row a key and
+    block, so that a key with a third of all rows is as many tasks as it has blocks. A null key is a key.
+    """
+    rows = rows or WINDOW_ROWS
+    s = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    blocks = (s.n or 0) // rows + 1
+    if blocks == 1:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*key).orderBy(order)))
+    width = (float(s.high) - float(s.low)) / blocks or 1.0
+    d = df.withColumn("_block", F.floor((F.col(order) - F.lit(s.low)) / width).cast("int")).withColumn("_v", value)
+    per = d.groupBy(*key, "_block").agg(F.sum("_v").alias("_sum"))
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = d["_block"].eqNullSafe(per["_b"])
+    for i, k in enumerate(key):
+        same = same & d[k].eqNullSafe(per[f"_k{i}"])
+    d = d.withColumn("_own", F.sum("_v").over(Window.partitionBy(*key, "_block").orderBy(order))).join(per, same, "left")
+    return d.withColumn(out, F.col("_own") + F.col("_before")).drop("_block", "_v", "_own", "_b", "_before", *[f"_k{i}" for i in range(len(key))])
+
+
+def numbered(df: DataFrame, key: list[str], order: str, out: str, rows: int | None = None) -> DataFrame:
+    """``df`` with ``out``, the number of each row within its key by ``order``, from 1; hot keys as in running_sum where ``order`` is a number."""
+    if not isinstance(df.schema[order].dataType, NumericType):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+    return running_sum(df, key, order, F.lit(1), out, rows).withColumn(out, F.col(out).cast("int"))
+
+
 def streaks(log: DataFrame, key: str, order: str, failed: Column, least: int) -> DataFrame:
     """X-06: ``(key, first_at, last_at, failures)`` of each run of ``least`` or more failures in a row (when a breaker opens)."""
-    w = Window.partitionBy(key).orderBy(order)
-    d = log.select(key, order, failed.alias("f")).withColumn("g", F.sum(F.when(F.col("f"), 0).otherwise(1)).over(w))
+    d = running_sum(log.select(key, order, failed.alias("f")), [key], order, F.when(F.col("f"), 0).otherwise(1), "g")
     runs = d.where("f").groupBy(key, "g").agg(F.min(order).alias("first_at"), F.max(order).alias("last_at"), F.count(F.lit(1)).alias("failures"))
     return runs.where(F.col("failures") >= least).drop("g")
 

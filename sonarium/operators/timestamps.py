@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.session import held, small
@@ -150,6 +150,39 @@ def estimate_zones(df: DataFrame, source: str, local: str, arrived: str, zones:
     return best.select("source", "b.time_zone", "b.violations", "b.n")
 
 
+def estimate_zones_in_order(df: DataFrame, source: str, order: str, local: str, known: str, zones: list[str]) -> DataFrame:
+    """``(source, time_zone, violations, n)`` where nothing tells when rows arrived, but their order is that of their times.
+
+    ``known`` is the UTC time of rows that state one, ``local`` the clock time of the others, ``order`` a number in which a
+    source's rows differ. Under the right offset history a converted time is not before any known one that precedes it, nor
+    after any that follows; each row that is counts as a violation. The zone with the fewest wins, then the first by name.
+    What a row must lie between comes from running maxima in blocks (as state.running_sum's), so a hot source is many tasks.
+    Null sources, times and orders count nowhere; a source without usable rows is not returned.
+    """
+    d = df.where(F.col(source).isNotNull() & F.col(order).isNotNull()).select(F.col(source).alias("source"), F.col(order).alias("o"), F.col(local).alias("local"), F.col(known).cast("timestamp_ntz").alias("known"))
+    d = _running(_running(d, "o", "known", "after", F.max), "o", "known", "until", F.min, -1)
+    d = d.where(F.col("known").isNull() & F.col("local").isNotNull()).withColumn("time_zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    utc = F.convert_timezone(F.col("time_zone"), F.lit("UTC"), F.col("local"))
+    bad = F.coalesce(utc < F.col("after"), F.lit(False)) | F.coalesce(utc > F.col("until"), F.lit(False))
+    per = d.groupBy("source", "time_zone").agg(F.count_if(bad).alias("violations"), F.count(F.lit(1)).alias("n"))
+    best = per.groupBy("source").agg(F.min(F.struct("violations", "time_zone", "n")).alias("b"))
+    return best.select("source", "b.time_zone", "b.violations", "b.n")
+
+
+def _running(d: DataFrame, order: str, value: str, out: str, most, sign: int = 1) -> DataFrame:
+    """``d`` with ``out``, the extreme of ``value`` over the source's rows before a row in order (after it, with ``sign`` -1)."""
+    from sonarium.operators.state import WINDOW_ROWS
+
+    s = d.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    width = (float(s.high or 0) - float(s.low or 0)) / ((s.n or 0) // WINDOW_ROWS + 1) or 1.0
+    d = d.withColumn("_block", F.floor((F.col(order) - F.lit(s.low or 0)) / width).cast("int"))
+    back = lambda *k: Window.partitionBy(*k[:-1]).orderBy(F.col(k[-1]) * sign).rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy("source", "_block").agg(most(value).alias("_v")).withColumn("_before", most("_v").over(back("source", "_block"))).drop("_v")
+    d = d.withColumn("_own", most(value).over(back("source", "_block", order))).join(per, ["source", "_block"])
+    both = F.array_max if most is F.max else F.array_min
+    return d.withColumn(out, both(F.array("_own", "_before"))).drop("_own", "_before", "_block")
+
+
 def with_root(df: DataFrame, path: str, roots: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with ``out``: the column ``value`` of the root its path begins with (the longest such root, ``root`` for itself), null if none.
 
@@ -171,11 +204,34 @@ def with_root(df: DataFrame, path: str, roots: DataFrame, value: str, out: str)
     return keyed.drop("_parts", *[c for n in depths for c in (f"_root{n}", f"_value{n}")])
 
 
+def missing_zones(df: DataFrame, roots: DataFrame, arrived: str, zones: list[str] | None = None) -> DataFrame:
+    """``roots`` with the zones it lacks estimated from the times below each such root that name none, against ``arrived``.
+
+    The candidates are ``zones``, else those that the other roots have. A root below which nothing can be aligned keeps null;
+    a list in which every root has a zone is returned as it is, without reading a row of ``df``.
+    """
+    gone = roots.where(F.col("time_zone").isNull() & F.col("root").isNotNull())
+    if gone.limit(1).count() == 0:
+        return roots
+    zones = zones or sorted(r.time_zone for r in roots.where(F.col("time_zone").isNotNull()).select("time_zone").distinct().limit(len(available_timezones())).collect())  # at most the zones there are
+    if not zones:
+        return roots
+    d = with_root(df.select("file_path", arrived, F.col("date").alias("_d")), "file_path", gone, "root", "_root").where(F.col("_root").isNotNull())
+    d = _with_parsed(held(d, _t=clean(F.col("_d"))), F.col("_t")).where(F.col("_h").isNotNull() & F.col("_zone").isNull() & F.col("_at").isNotNull())
+    found = estimate_zones(d, "_root", "_at", arrived, zones).select("source", F.col("time_zone").alias("_found"))
+    plain = F.regexp_replace(F.replace("root", F.lit("\\"), F.lit("/")), "/+$", "")
+    d = roots.withColumn("_plain", plain).join(small(found), F.col("_plain") == F.col("source"), "left")
+    return d.withColumn("time_zone", F.coalesce("time_zone", "_found")).drop("_plain", "source", "_found")
+
+
 def date_cases(df: DataFrame, roots: DataFrame) -> DataFrame:
     """``(row_id, field_name, normal_value)`` of the ``date`` and ``year`` values that are not in normal form yet.
 
+    A time without a zone is on the clock of its root; the zone of a root that has none is estimated (missing_zones).
+
     Values that denote no existing date, nulls and blanks are no case; repeated rows give their cases again.
     """
+    roots = missing_zones(df, roots, "processed_at")
     date_normal = F.col("date").rlike(r"^\d{4}-(0[1-9]|1[0-2])(-(0[1-9]|1\d|2[0-8]))?$")
     year_normal = F.col("year").rlike(r"^[1-9]\d{3}$")
     d = df.select("row_id", "file_path", F.when(~date_normal, F.col("date")).alias("date"), F.when(~year_normal, F.col("year")).alias("year"))

@@ -62,6 +62,23 @@ def test_propagation_keeps_blank_first(spark):
     assert [r.x for r in state.propagated(d, "k", ["o"], "g", "x").orderBy("o").collect()] == ["N", "N", "S"]
 
 
+def test_running_sums_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.random() < 0.4) for i in rng.sample(range(1000), 300)]
+    d = spark.createDataFrame(rows, "k string, o int, f boolean")
+    want, seen = {}, {}
+    for k, o, _ in sorted(rows, key=lambda r: r[1]):
+        want[o] = seen[k] = seen.get(k, 0) + 1
+    assert {r.o: r.n for r in state.numbered(d, ["k"], "o", "n", rows=20).collect()} == want
+    assert {r.o: r.n for r in state.numbered(d, ["k"], "o", "n").collect()} == want
+    whole = sorted((str(r.k), r.first_at, r.last_at, r.failures) for r in state.streaks(d, "k", "o", F.col("f"), 2).collect())
+    monkeypatch.setattr(state, "WINDOW_ROWS", 25)
+    assert sorted((str(r.k), r.first_at, r.last_at, r.failures) for r in state.streaks(d, "k", "o", F.col("f"), 2).collect()) == whole and whole
+    assert state.numbered(d.limit(0), ["k"], "o", "n").count() == 0
+
+
 def test_last_wins_with_maps(spark):
     d = spark.createDataFrame([("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("b", 5, None)], "k string, o int, m map<string,string>")
     assert {r.k: r.m for r in state.last_wins(d, ["k"], ["o"]).collect()} == {"a": {"x": "2"}, "b": None}

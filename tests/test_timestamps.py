@@ -63,3 +63,28 @@ def test_very_many_roots(spark):
     r = spark.range(2500).select(F.format_string("/root%d/", "id").alias("root"))
     d = spark.range(0, 2500, 500).select(F.format_string("/root%d/a/b.mp3", "id").alias("p"))
     assert {x.p: x.z for x in with_root(d, "p", r, "root", "z").collect()} == {f"/root{i}/a/b.mp3": f"/root{i}" for i in range(0, 2500, 500)}
+
+
+def test_zones_in_order(spark, monkeypatch):
+    from sonarium.operators import state
+    from sonarium.operators.timestamps import estimate_zones_in_order
+
+    rows = []
+    for i in range(60):
+        utc = datetime(2021, 3, 27, 12) + timedelta(hours=i)
+        tokyo, berlin = utc + timedelta(hours=9), utc + timedelta(hours=1 if utc < datetime(2021, 3, 28, 1) else 2)
+        rows += [("t", i, None if i % 2 else tokyo, utc if i % 2 else None), ("b", i, None if i % 2 else berlin, utc if i % 2 else None), ("none", i, None, utc), (None, i, tokyo, None)]
+    d = spark.createDataFrame(rows, "s string, o int, l timestamp_ntz, k timestamp_ntz")
+    for size in (1_000_000, 17):
+        monkeypatch.setattr(state, "WINDOW_ROWS", size)
+        got = {r.source: (r.time_zone, r.violations, r.n) for r in estimate_zones_in_order(d, "s", "o", "l", "k", ["Asia/Tokyo", "Europe/Berlin", "Europe/London", "UTC"]).collect()}
+        assert got == {"t": ("Asia/Tokyo", 0, 30), "b": ("Europe/Berlin", 0, 30)}
+    assert estimate_zones_in_order(d.limit(0), "s", "o", "l", "k", ["UTC"]).count() == 0
+
+
+def test_roots_without_a_zone(spark):
+    rows = [(i, f"/a/{i}", f"2021-01-{i:02d} 20:00", None, datetime(2021, 1, i, 11, 5)) for i in range(1, 9)] + [(9, "/b/x", "2021-01-01 20:00", "21", datetime(2021, 1, 1))]
+    d = spark.createDataFrame(rows, "row_id bigint, file_path string, date string, year string, processed_at timestamp_ntz")
+    roots = spark.createDataFrame([("/a", None), ("/b", "UTC"), ("/c", "Asia/Tokyo"), ("/d", "Europe/Berlin")], "root string, time_zone string")
+    got = {(r.row_id, r.field_name): r.normal_value for r in date_cases(d, roots).collect()}
+    assert got[(1, "date")] == "2021-01-01T11:00:00Z" and got[(9, "date")] == "2021-01-01T20:00:00Z" and got[(9, "year")] == "2021"
