@@ -150,8 +150,8 @@ def export_rows(media: DataFrame, basic: bool = False) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """K-06, K-12."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """K-06, K-12: a table as CSV with a header, values as they are, outer blanks too."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
 
 
 def write_records(df: DataFrame, path: str) -> None:

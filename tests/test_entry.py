@@ -8,7 +8,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-MODULES = ["cleaning", "fusion", "records", "evidence", "pipeline", "scalars", "completion"]
+MODULES = ["cleaning", "fusion", "records", "evidence", "pipeline", "scalars", "completion", "surface"]
 QUERIES = {k: q for m in MODULES for k, q in importlib.import_module(f"sonarium.plans.{m}").QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in importlib.import_module(f"sonarium.plans.{m}").SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
