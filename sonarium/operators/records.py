@@ -120,8 +120,11 @@ def folder_group(path: Column, root: Column, by: str = "top") -> Column:
 
 
 def write_groups(df: DataFrame, group: str, to: str) -> None:
-    """K-11, T-15: one folder a group, replaced as a whole; groups that are not in ``df`` keep theirs."""
-    df.withColumn("group", safe_name(F.col(group))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group").option("header", True).csv(to)
+    """K-11, T-15: one folder a group, replaced as a whole; groups that are not in ``df`` keep theirs.
+
+    Rows are brought together by group, small groups in one task, a hot one over several (a rebalance that adaptive execution sizes).
+    """
+    df.withColumn("group", safe_name(F.col(group))).hint("rebalance", "group").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group").option("header", True).csv(to)
 
 
 def converter_counters(rows: DataFrame, converted: DataFrame) -> DataFrame:

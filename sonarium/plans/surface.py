@@ -44,7 +44,7 @@ def log_and_compaction(spark, sf_dir):
 def group_folders(spark, sf_dir):
     """K-11, T-15: rows written to one folder a group, and how many lie in each."""
     to = fresh_path(spark, "groups")
-    records.write_groups(_report(spark, sf_dir).select("row_id", F.coalesce("label", F.lit("")).alias("label")), "label", to)
+    records.write_groups(_report(spark, sf_dir).select("row_id", F.coalesce("language", F.lit("")).alias("language")), "language", to)
     return spark.read.option("header", True).option("inferSchema", False).csv(to).groupBy(F.col("group").cast("string").alias("folder")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.lower("folder"))
 
 
@@ -181,7 +181,7 @@ _PLACE = "file_path || '#' || row_id"
 _T = ", ".join(f"coalesce({c}, '') AS {c}" for c in TAGS)
 _SQUEEZED = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{a0}}\x{{85}}]+', ' ', 'g'))"
 _WORDS = "trim(regexp_replace(replace(lower(replace(coalesce({0}, ''), 'İ', 'i' || chr(775))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-_SAFE = r"regexp_replace(regexp_replace(trim(regexp_replace(coalesce(label, ''), '[\s\x{a0}\x{85}]+', ' ', 'g')), '[<>:\"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+_SAFE = r"regexp_replace(regexp_replace(trim(regexp_replace(coalesce(language, ''), '[\s\x{a0}\x{85}]+', ' ', 'g')), '[<>:\"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
 SQL = {
     "csv_round_trip": f"SELECT row_id, {', '.join(f'''coalesce({c}, '') AS {c}''' for c in SHOWN)} FROM {_R}",
     "json_round_trip": "SELECT path AS key, 'r' AS root, size_bytes, scan_id AS mtime_ns FROM media_inventory",
