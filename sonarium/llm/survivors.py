@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sonarium.llm.garbled import LOST, no_statistics, repair
+from sonarium.llm.garbled import LOST, Statistics, gather, no_statistics, repair
 from sonarium.llm.names import fold
 from sonarium.session import stored
 
@@ -24,28 +24,32 @@ def _plain(text: str) -> str:
     return re.sub(NOISE, " ", fold(text))
 
 
-def title_key(text: str | None) -> str | None:
+def title_key(text: str | None, stats: Statistics | None = None) -> str | None:
     """What titles of one version of a song have in common: repaired, folded, without notes on the upload; null if nothing is left.
 
     A title with lost characters is marked, and keyed by its plain ASCII letters alone.
     """
     if text is None or fold(text).strip() in MISSING:
         return None
-    fixed = repair(text, no_statistics())[0]
+    fixed = repair(text, stats or no_statistics())[0]
     if LOST in fixed:
-        return LOST + ascii_key(fixed)
+        return LOST + ascii_key(fixed, stats)
     return re.sub(r"[^\w&]+", " ", _plain(fixed)).strip() or fixed.strip()
 
 
-def ascii_key(text: str) -> str:
+def ascii_key(text: str, stats: Statistics | None = None) -> str:
     """The ASCII letters and digits of a title alone: equal for a title and the same with its other characters lost."""
-    t = re.sub(NOISE, " ", repair(text, no_statistics())[0].lower())
+    t = re.sub(NOISE, " ", repair(text, stats or no_statistics())[0].lower())
     return re.sub(r"[^a-z0-9&]+", "", t)
 
 
-def _keys(titles: pd.Series) -> pd.DataFrame:
-    memory = {t: (None, None) if t is None else (title_key(t), ascii_key(t)) for t in titles.unique()}
-    return pd.DataFrame([memory[t] for t in titles], columns=["key", "bare"])
+def _keys(shared):
+    def keys(titles: pd.Series) -> pd.DataFrame:
+        stats = shared.value
+        memory = {t: (None, None) if t is None else (title_key(t, stats), ascii_key(t, stats)) for t in titles.unique()}
+        return pd.DataFrame([memory[t] for t in titles], columns=["key", "bare"])
+
+    return pandas_udf(keys, "struct<key string, bare string>")
 
 
 def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
@@ -54,9 +58,9 @@ def recordings(df: DataFrame, entities: DataFrame) -> DataFrame:
     ``entities(name, entity)`` tells which spellings of an artist are one. A title with lost characters takes the key of the
     same artist's title that has the same letters otherwise, if there is just one; a title that lost all its letters stays alone
     with those that lost theirs in the same way. A hot artist is one key of the first join; adaptive execution
-    splits it, and all later keys hold the title too.
+    splits it, and all later keys hold the title too. Wrong decodings are undone by the statistics of all titles.
     """
-    keys = pandas_udf(_keys, "struct<key string, bare string>")
+    keys = _keys(df.sparkSession.sparkContext.broadcast(gather(df, ["title"])))
     d = df.select("row_id", F.col("artist").alias("name"), keys("title").alias("k")).where(F.col("k.key").isNotNull())
     d = stored(d.select("row_id", "name", "k.key", "k.bare"), "titles")  # both branches below read it
     d = d.join(entities, "name").select("row_id", "entity", "key", "bare")
