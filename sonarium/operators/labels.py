@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.functions.numbers import clamp
-from sonarium.functions.text import pretty_label
+from sonarium.functions.text import fill_templates, label_spec, pretty_label
 from sonarium.session import BROADCAST_ROWS, small
 
 #: Most values of each field (T-11).
 LIMITS = {"genre": 1, "subgenre": 4, "moods": 6, "themes": 6, "occasion": 3, "instruments": 8}
 
 
+def specifications(lines: DataFrame, template: str = "a {label} song", default: str = "theme") -> DataFrame:
+    """G-06, F-19, F-20: ``(ord, field, label, prompt)``: a zero-shot vocabulary from ``lines(ord, label)`` of ``field: label``, one row a
+    field and label, the first; blank lines are left out."""
+    d = lines.where(F.trim("label") != "").select("ord", label_spec(F.col("label"), default).alias("s")).select("ord", "s.field", "s.label")
+    once = d.groupBy("field", "label").agg(F.min("ord").alias("ord"))
+    return once.select("ord", "field", "label", fill_templates(F.lit(template), F.col("label")).alias("prompt"))
+
+
 def categories(predictions: DataFrame, dimension: DataFrame, least: float) -> DataFrame:
     """J-08, P-17, F-17: ``(path, rank, label, score, field)`` of predictions of at least ``least``; the field that was given, else by
     ``dimension(label, category)``, else by the head's name, else by a hierarchy mark; labels without a field are left out."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sonarium.functions.text import path_parts
 from sonarium.functions.validity import first_of
+from sonarium.session import exists
 from sonarium.schema import DEBUG_COLUMNS, EXPORT_BASIC, EXPORT_COLUMNS, FINAL_COLUMNS, MANIFEST
 
 
@@ -91,11 +92,10 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """S-11: the manifest; a missing or broken one is empty."""
-    try:
-        return spark.read.schema(MANIFEST).json(path)
-    except Exception:  # noqa: BLE001
+    """S-11: the manifest; a missing one is empty, and lines of one that are broken are left out. What cannot be read is an error."""
+    if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json(path, mode="DROPMALFORMED")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
@@ -165,9 +165,9 @@ def paid_candidates(report: DataFrame, wanted: list[str]) -> DataFrame:
     return report.withColumn("paid_candidate_reason", F.array_join(gone, "; ")).where(F.size(gone) > 0)
 
 
-def rewrite_checked(df: DataFrame, issue_list: Column, path: str) -> None:
-    """K-15: ``df`` written only if no row has an issue; else the write fails and the target keeps what it has."""
+def rewrite_checked(df: DataFrame, issue_list: Column, path: str, drop: str | None = None) -> None:
+    """K-15: ``df``, without the column ``drop``, written only if no row has an issue; else the write fails and the target keeps what it has."""
     bad = df.select(issue_list.alias("i")).where(F.size("i") > 0)
     if bad.limit(1).count():
         raise ValueError(f"rows with issues: {bad.groupBy('i').count().limit(5).collect()}")
-    write_report(df, path)
+    write_report(df.drop(drop) if drop else df, path)

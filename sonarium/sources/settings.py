@@ -58,6 +58,17 @@ def load(env: dict[str, str] | None = None) -> Settings:
     return settings
 
 
+def heads(text: str) -> list[dict[str, str]]:
+    """G-05: further heads of a model from ``model|labels[|output]`` entries between semicolons; incomplete ones are an error."""
+    found = []
+    for entry in filter(None, (x.strip() for x in text.split(";"))):
+        parts = [x.strip() for x in entry.split("|")]
+        if len(parts) not in (2, 3) or not all(parts[:2]):
+            raise SettingsError(f"not model|labels[|output]: {entry!r}")
+        found.append({"model": parts[0], "labels": parts[1], "output": parts[2] if len(parts) == 3 else ""})
+    return found
+
+
 def check(s: Settings) -> list[str]:
     """S-20, U-04: range errors raise together; dropped providers are returned as warnings."""
     wrong = [f"{n} must be between 0 and 1" for n in ("min_field_confidence", "min_write_confidence") if not 0 <= getattr(s, n) <= 1]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.operators.state import last_wins
+from sonarium.session import exists
 
 
 def new_rows(spark: SparkSession, folder: str, schema: str, form: str = "parquet") -> DataFrame:
@@ -15,17 +16,30 @@ def new_rows(spark: SparkSession, folder: str, schema: str, form: str = "parquet
     return spark.readStream.format(form).schema(schema).load(folder)
 
 
-def run_once(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str):
-    """X-01, X-09, X-10: all that is there now, in batches through ``body``; a later call takes up where this one stopped."""
+def run_once(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, most_seconds: float | None = None):
+    """X-01, X-10: all that is there now, in batches through ``body``; a later call takes up where this one stopped.
+
+    After ``most_seconds``, or if the caller is interrupted, the query is stopped: a batch that was not committed is run again by
+    the next call, so nothing is lost and sinks that emit once emit nothing twice.
+    """
     q = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination(most_seconds) if most_seconds else q.awaitTermination()
+    finally:
+        if q.isActive:
+            q.stop()
     return q
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there; what cannot be told is an error, not a no."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def stages(*steps: Callable[[DataFrame], DataFrame], to: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """X-09: one body that prepares, enriches, converts and so on, step by step, and hands the result to the sink ``to``."""
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        for step in steps:
+            batch = step(batch)
+        to(batch, batch_id)
+
+    return body
 
 
 def emit_once(to: str, key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
