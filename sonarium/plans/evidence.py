@@ -134,6 +134,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _PLAIN = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(lower(replace(regexp_replace(replace({0}, '\', '/'), '^(?s:.*)/', ''), 'İ', 'i' || chr(775))), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}]+', ' ', 'g'))"
 SQL = {
     "domain_consensus": f"""WITH e AS (SELECT album_artist, row_id AS seq, genre AS value, 'd' || (row_id % 7) AS domain, CAST(row_id % 7 + 1 AS DECIMAL(18,4)) AS weight, {_PLAIN.replace("replace(lower({0}), '&', ' and ')", "lower(genre)")} AS k FROM smoke_final_completed WHERE album_artist IS NOT NULL AND genre IS NOT NULL),
         f AS (SELECT album_artist, k, domain, min(seq) AS seq, arg_min(value, seq) AS value, arg_min(weight, seq) AS weight FROM e WHERE k <> '' GROUP BY ALL),
@@ -163,4 +164,14 @@ SQL = {
         SELECT album, name, CAST(score AS BIGINT) AS score FROM b QUALIFY row_number() OVER (PARTITION BY album ORDER BY score DESC, ord) = 1""",
     "tags_payload": r"""SELECT scan_id, trim(regexp_replace(coalesce(nullif(trim(json_extract_string(tags_json, '$.title')), ''), ''), '[\s\x{a0}\x{85}]+', ' ', 'g')) AS title, trim(regexp_replace(coalesce(nullif(trim(json_extract_string(tags_json, '$.artist')), ''), ''), '[\s\x{a0}\x{85}]+', ' ', 'g')) AS artist
         FROM media_inventory WHERE json_valid(tags_json) AND tags_json <> ''""",
+    "free_names": r"""WITH p AS (SELECT row_id AS seq, filename AS target, lower(replace(filename, 'İ', 'i' || chr(775))) AS base, regexp_replace(replace(filename, '\', '/'), '^(?s:.*)/', '') AS name FROM smoke_final_completed),
+        t AS (SELECT lower(replace(regexp_extract(filename, '^(?s:(.*?))(?: \((\d+)\))?(\.[^.]*)?$', 1) || regexp_extract(filename, '^(?s:(.*?))(?: \((\d+)\))?(\.[^.]*)?$', 3), 'İ', 'i' || chr(775))) AS base,
+          coalesce(TRY_CAST(nullif(regexp_extract(filename, '^(?s:(.*?))(?: \((\d+)\))?(\.[^.]*)?$', 2), '') AS INTEGER), 1) AS n FROM smoke_final_no_blanks),
+        h AS (SELECT base, max(n) AS high FROM t GROUP BY base), r AS (SELECT p.*, row_number() OVER (PARTITION BY p.base ORDER BY seq) + coalesce(high, 0) AS no FROM p LEFT JOIN h USING (base))
+        SELECT seq, CASE WHEN no = 1 THEN target ELSE regexp_replace(name, '(.)\.[^.]+$', '\1') || ' (' || no || ')' || lower(regexp_extract(name, '.(\.[^.]+)$', 1)) END AS target FROM r""",
+    "find_media": rf"""WITH f AS (SELECT DISTINCT path, lower(path) AS low, lower(regexp_replace(replace(path, '\', '/'), '^(?s:.*)/', '')) AS name, {_NORM.format('path')} AS norm FROM media_inventory),
+        r AS (SELECT row_id, CASE WHEN row_id % 3 <> 0 THEN file_path END AS file_path, lower(filename) AS name, {_NORM.format('filename')} AS norm FROM smoke_final_completed),
+        l AS (SELECT low, min(path) AS path FROM f GROUP BY low), n AS (SELECT name, min(path) AS path FROM f GROUP BY name HAVING count(*) = 1), m AS (SELECT norm, min(path) AS path FROM f WHERE norm <> '' GROUP BY norm HAVING count(*) = 1)
+        SELECT r.row_id, coalesce(f.path, l.path, n.path, m.path) AS path, CASE WHEN f.path IS NOT NULL THEN 'declared' WHEN l.path IS NOT NULL THEN 'relative' WHEN n.path IS NOT NULL THEN 'name' WHEN m.path IS NOT NULL THEN 'normalised' END AS how
+        FROM r LEFT JOIN f ON f.path = r.file_path LEFT JOIN l ON l.low = lower(r.file_path) LEFT JOIN n ON n.name = r.name LEFT JOIN m ON m.norm = r.norm""",
 }

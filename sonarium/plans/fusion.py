@@ -149,4 +149,8 @@ SQL = {
         SELECT l_id, arg_max(seq, {'t': t, 's': -seq}) AS seq, round(0.6 * max(t) + 0.4 * 0.65, 6) AS score FROM p WHERE t >= 0.55 GROUP BY l_id""",
     "completion_cascade": "WITH a AS (SELECT row_id, " + ", ".join(f"nullif(trim(CASE WHEN {_ABSENT.format(c)} THEN {c} END), '') AS {c}" for c in ("artist", "album_artist", "composer", "label", "publisher")) + " FROM smoke_final_completed) "
         "SELECT row_id, coalesce(album_artist, artist, '') AS album_artist, coalesce(composer, artist, '') AS composer, coalesce(label, publisher, album_artist, artist, '') AS label, coalesce(publisher, label, '') AS publisher FROM a",
+    "title_pairs": rf"""WITH s AS (SELECT row_id, replace(regexp_replace(regexp_replace(filename, '^(?s:.*)/', ''), '(.)\.[^. /]*$', '\1'), '_', ' ') AS s FROM smoke_final_completed),
+        t AS (SELECT row_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)\[[^\]]+\]|\([^)]+\)|\b(?:{'|'.join(text.NOISE_WORDS)})\b|\b(?:{'|'.join(text.KINDS)})\b|\b\d{{3,}}\s*kbps\b', ' ', 'g'), '\s+', ' ', 'g'), '^[ \-_]+|[ \-_]+$', '', 'g') AS t FROM s),
+        p AS (SELECT row_id, CASE WHEN regexp_matches(t, '^.*?\S.*?\s+-\s+.*\S') THEN ' - ' WHEN regexp_matches(t, '\s+--\s+') THEN ' -- ' WHEN regexp_matches(t, '\s+\|\s+') THEN ' | ' END AS sep, t FROM t)
+        SELECT row_id, trim(split_part(t, sep, 1)) AS artist, trim(substr(t, strpos(t, sep) + length(sep))) AS title FROM p WHERE sep IS NOT NULL AND trim(split_part(t, sep, 1)) <> ''""",
 }

@@ -193,4 +193,6 @@ SQL = {
     "identity_changed": f"SELECT row_id AS path FROM smoke_final_completed WHERE {_LOW.format('album_artist')} <> '' AND {_LOW.format('artist')} <> {_LOW.format('album_artist')}",
     "search_queries": f"""WITH s AS (SELECT row_id, {_SQUEEZE.format('artist')} AS a, {_SQUEEZE.format('title')} AS t FROM smoke_final_completed)
         SELECT row_id, concat_ws(' ', '"' || nullif(a, '') || '"', '"' || nullif(t, '') || '"') AS quoted, concat_ws(' ', nullif(a, ''), nullif(t, '')) AS plain FROM s""",
+    "safe_names": rf"""WITH s AS (SELECT row_id, regexp_replace(regexp_replace({_SQUEEZE.format("concat_ws('/', artist, genre)")}, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS s FROM smoke_final_completed)
+        SELECT row_id, CASE WHEN s = '' THEN '_unmatched' ELSE s END AS name FROM s""",
 }
