@@ -24,29 +24,24 @@ def _plain(text: str) -> str:
     return re.sub(NOISE, " ", fold(text))
 
 
-def title_key(text: str | None, stats: Statistics | None = None) -> str | None:
+def title_keys(text: str | None, stats: Statistics | None = None) -> tuple[str | None, str | None]:
     """What titles of one version of a song have in common: repaired, folded, without notes on the upload; null if nothing is left.
+    And the ASCII letters and digits alone, which are equal for a title and the same with its other characters lost.
 
     A title with lost characters is marked, and keyed by its plain ASCII letters alone.
     """
     if text is None or fold(text).strip() in MISSING:
-        return None
+        return None, None
     fixed = repair(text, stats or no_statistics())[0]
+    bare = re.sub(r"[^a-z0-9&]+", "", re.sub(NOISE, " ", fixed.lower()))
     if LOST in fixed:
-        return LOST + ascii_key(fixed, stats)
-    return re.sub(r"[^\w&]+", " ", _plain(fixed)).strip() or fixed.strip()
-
-
-def ascii_key(text: str, stats: Statistics | None = None) -> str:
-    """The ASCII letters and digits of a title alone: equal for a title and the same with its other characters lost."""
-    t = re.sub(NOISE, " ", repair(text, stats or no_statistics())[0].lower())
-    return re.sub(r"[^a-z0-9&]+", "", t)
+        return LOST + bare, bare
+    return re.sub(r"[^\w&]+", " ", _plain(fixed)).strip() or fixed.strip(), bare
 
 
 def _keys(shared):
     def keys(titles: pd.Series) -> pd.DataFrame:
-        stats = shared.value
-        memory = {t: (None, None) if t is None else (title_key(t, stats), ascii_key(t, stats)) for t in titles.unique()}
+        memory = {t: title_keys(t, shared.value) for t in titles.unique()}
         return pd.DataFrame([memory[t] for t in titles], columns=["key", "bare"])
 
     return pandas_udf(keys, "struct<key string, bare string>")
