@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonarium.functions.numbers import clamp
 from sonarium.functions.text import key_plain, key_vote
 from sonarium.schema import TAG_FIELDS
-from sonarium.session import small
+from sonarium.session import held, small
 
 #: Weight of a source without one, and what the file's own tags vote.
 DEFAULT_WEIGHT, OWN_WEIGHT, OWN = 0.5, 0.76, "existing_file_tag"
@@ -129,3 +129,66 @@ def merge(media: DataFrame, evidence: DataFrame, weights: DataFrame, least: floa
     d = d.withColumns({"providers_used": F.coalesce("providers_used", none), "notes": F.coalesce("notes", none), "fields": F.coalesce("fields", empty)})
     gone = missing_required(required, F.col("fields"), F.coalesce("tags", empty), F.col("has_cover_art"))
     return d.select("path", "fields", "field_confidence", "field_sources", F.coalesce("quality", F.lit(0.0)).alias("quality_score"), "providers_used", gone.alias("missing_required"), "notes")
+
+
+def merge_rows(media: DataFrame, weights: DataFrame, least: float, required: list[str], most: int = 4) -> DataFrame:
+    """``merge`` where each file's row holds its ``evidence``, an array of (seq, provider, confidence, fields) in order of seq.
+
+    The votes of a file are counted within its row, so nothing is shuffled and other columns of ``media`` are kept. For evidence of many
+    rows a file, in tables of its own, there is ``merge``.
+    """
+    known = weights.where(F.col("provider").isNotNull()).groupBy("provider").agg(F.max("weight").alias("w"))
+    known = known.agg(F.map_from_entries(F.collect_list(F.struct("provider", "w"))).alias("_weights"))  # one row
+    empty = F.create_map().cast("map<string,string>")
+    votes_of = lambda fields: F.filter(F.map_entries(F.coalesce(fields, empty)), lambda e: e["key"].isin(*TAG_FIELDS) & (F.trim(e["value"]) != ""))
+    vote = lambda field, raw, source, weight, seq: F.struct(field.alias("field"), key_vote(field, raw).alias("value"), source.alias("source"), weight.alias("weight"), seq.alias("seq"))
+    weight = lambda x: clamp(x["confidence"] * F.coalesce(F.try_element_at("_weights", x["provider"]), F.lit(DEFAULT_WEIGHT)))
+    given = F.flatten(F.transform("evidence", lambda x: F.transform(votes_of(x["fields"]), lambda e: vote(e["key"], e["value"], x["provider"], weight(x), x["seq"]))))
+    d = held(media.crossJoin(F.broadcast(known)), _given=given).drop("_weights")
+
+    def counted(mine, value):
+        same = F.filter(mine, lambda v: v["value"] == value)
+        score = F.aggregate(same, F.lit(0.0), lambda s, v: s + v["weight"])
+        sources = F.array_join(F.array_sort(F.array_distinct(F.transform(same, lambda v: v["source"]))), ", ")
+        return F.struct(score.alias("score"), (-F.array_min(F.transform(same, lambda v: v["seq"]))).alias("order"), value.alias("value"), sources.alias("sources"))
+
+    def of_field(field):
+        raw = F.try_element_at("tags", field)
+        own = F.when(F.trim(raw) != "", F.array(vote(field, raw, F.lit(OWN), F.lit(OWN_WEIGHT), F.lit(0))))
+        given = F.filter("_given", lambda v: v["field"] == field)
+        # of one array, so that the votes of a field are picked once
+        return F.get(F.transform(F.array(F.coalesce(F.concat(own, given), given)), lambda m: F.struct(field.alias("field"), F.transform(F.array_distinct(F.transform(m, lambda v: v["value"])), lambda x: counted(m, x)).alias("values"))), F.lit(0))
+
+    d = held(d, _tallied=F.transform(F.array_distinct(F.transform("_given", lambda v: v["field"])), of_field)).drop("_given")
+    best = F.transform("_tallied", lambda t: F.struct(t["field"].alias("field"), F.array_max(t["values"]).alias("b"), F.nullif(F.try_element_at("tags", t["field"]), F.lit("")).alias("raw")))
+
+    def landed(w):
+        score = F.least(w["b"]["score"], F.lit(1.0))
+        sure = score >= least
+        keep = ~sure & w["raw"].isNotNull()
+        return F.struct(
+            w["field"].alias("field"), F.when(sure, w["b"]["value"]).when(keep, w["raw"]).alias("value"), F.when(keep, F.greatest(score, F.lit(0.70))).otherwise(score).alias("confidence"),
+            F.when(sure, w["b"]["sources"]).when(keep, F.lit(OWN)).alias("sources"),
+        )
+
+    # a field that no provider reports has one vote, its tag
+    alone = F.filter(votes_of(F.col("tags")), lambda e: ~F.exists("_tallied", lambda t: t["field"] == e["key"]))
+    tag = lambda e: key_vote(e["key"], e["value"]) if least <= OWN_WEIGHT else e["value"]
+    alone = F.transform(alone, lambda e: F.struct(e["key"].alias("field"), tag(e).alias("value"), F.lit(OWN_WEIGHT).alias("confidence"), F.lit(OWN).alias("sources")))
+    d = held(d, _won=F.concat(alone, F.transform(best, landed)))
+    kept = F.filter("_won", lambda w: w["value"].isNotNull())
+    entries = lambda of, v: F.map_from_entries(F.transform(of, lambda w: F.struct(w["field"], w[v])))
+    sums = F.aggregate("_won", F.lit(0.0), lambda s, w: s + w["confidence"])
+    used = F.array_sort(F.array_distinct(F.transform(F.filter("evidence", lambda x: F.size(x["fields"]) > 0), lambda x: x["provider"])))
+    d = held(d, fields=entries(kept, "value"), field_sources=F.when(F.size("_won") > 0, entries(kept, "sources")), quality_score=F.when(F.size("_won") > 0, sums / F.size("_won")).otherwise(0.0))
+
+    def note(t):
+        listed = F.slice(F.array_sort(F.transform(t["values"], lambda v: F.struct((-v["score"]).alias("s"), (-v["order"]).alias("first_seq"), v["value"].alias("value")))), 1, most)
+        return F.concat(F.lit("conflict on "), t["field"], F.lit(": "), F.array_join(F.transform(listed, lambda x: F.format_string("%s (%.2f)", x["value"], -x["s"])), ", "))
+
+    differ = F.filter("_tallied", lambda t: F.size(F.array_distinct(F.filter(F.transform(t["values"], lambda v: key_plain(v["value"])), lambda k: k != ""))) > 1)
+    rest = [c for c in media.columns if c not in ("path", "tags", "evidence")]
+    return d.select(
+        "path", "fields", F.when(F.size("_won") > 0, entries("_won", "confidence")).alias("field_confidence"), "field_sources", "quality_score", used.alias("providers_used"),
+        missing_required(required, F.col("fields"), F.coalesce("tags", empty), F.col("has_cover_art")).alias("missing_required"), F.array_sort(F.transform(differ, note)).alias("notes"), *rest,
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sonarium.operators import state, votes
 from sonarium.plans.fusion import RULES
 from sonarium.schema import REQUIRED, TAG_FIELDS
-from sonarium.session import fresh_path, table
+from sonarium.session import fresh_path, held, table
 from sonarium.sources import files, providers
 from sonarium.streaming import jobs
 
@@ -22,10 +22,10 @@ def _media(spark, sf_dir):
 
 def _merged(spark, sf_dir):
     media = _media(spark, sf_dir).drop("file_path")
-    own = [providers.Provider("local_cleanup", "free", providers.local_cleanup), providers.Provider("rules_inference", "web", providers.rules_provider(RULES))]
-    evidence = providers.collect_evidence(media, own, ["title", "artist", "mood"])
+    media = held(media, tags=F.col("tags"))
+    own = [providers.in_rows("local_cleanup", "free", providers.cleanup_answers), providers.in_rows("rules_inference", "web", providers.rules_answers(RULES))]
     weights = spark.createDataFrame([("local_cleanup", 0.8), ("rules_inference", 0.9)], "provider string, weight double")
-    return votes.merge(media, evidence, weights, 0.6, ["title", "artist", "mood"]).join(media.select("path", "has_cover_art"), "path")
+    return votes.merge_rows(providers.with_evidence(media, own, ["title", "artist", "mood"]), weights, 0.6, ["title", "artist", "mood"])
 
 
 def enrich_report(spark, sf_dir):

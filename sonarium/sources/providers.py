@@ -11,21 +11,35 @@ from pyspark.sql import functions as F
 
 from sonarium.functions.text import clean_track, content_key, squeeze, split_pair
 from sonarium.functions.validity import missing
-from sonarium.operators.catalog import keyword_rules
 from sonarium.operators.state import cached
 from sonarium.operators.votes import missing_required, overlay
+from sonarium.session import held
 
 EVIDENCE = ["path", "seq", "stage", "provider", "confidence", "fields", "notes"]
 
 
 @dataclass(frozen=True)
 class Provider:
-    """G-01: a name, a stage, whether it is usable, and ``enrich(media) -> evidence(path, confidence, fields, notes)``."""
+    """G-01: a name, a stage, whether it is usable, and ``enrich(media) -> evidence(path, confidence, fields, notes)``.
+
+    A provider that needs nothing but the row itself also has ``answer(media)``, which is ``media`` with ``_answer``, a struct
+    of (confidence, fields, notes), null where it has none."""
 
     name: str
     stage: str
     enrich: Callable[[DataFrame], DataFrame]
     configured: bool = True
+    answer: Callable[[DataFrame], DataFrame] | None = None
+
+
+def in_rows(name: str, stage: str, answer: Callable[[DataFrame], DataFrame]) -> Provider:
+    """A provider that answers from the row itself."""
+    return Provider(name, stage, lambda media: answer(media).where(F.col("_answer").isNotNull()).select("path", "_answer.*"), answer=answer)
+
+
+def _answered(d: DataFrame, confidence: float, notes: str) -> DataFrame:
+    """``d`` with ``_answer`` of its map ``_found``, none where that is empty."""
+    return d.withColumn("_answer", F.when(F.size("_found") > 0, F.struct(F.lit(confidence).alias("confidence"), F.col("_found").alias("fields"), F.lit(notes).alias("notes")))).drop("_found")
 
 
 def usable(providers: Iterable[Provider], names: list[str]) -> list[Provider]:
@@ -39,29 +53,41 @@ def from_table(name: str, stage: str, table: DataFrame) -> Provider:
     return Provider(name, stage, lambda media: media.select("path").join(table, "path"))
 
 
-def local_cleanup(media: DataFrame) -> DataFrame:
+def cleanup_answers(media: DataFrame) -> DataFrame:
     """R-13: artist and title parsed from the file name where the tags lack them, else the title without noise."""
     tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
-    d = media.select("path", tag("title").alias("t"), tag("artist").alias("a"), split_pair(clean_track(F.col("path"))).alias("p"), clean_track(tag("title"), stem=False).alias("c"))
-    artist = F.when(missing(F.col("a")), F.col("p.artist")).otherwise(F.lit(""))
-    title = F.when(missing(F.col("t")), F.col("p.title")).when(F.col("c") != squeeze(F.col("t")), F.col("c")).otherwise(F.lit(""))
-    found = F.map_filter(F.create_map(F.lit("title"), title, F.lit("artist"), artist), lambda _, v: v != "")
-    return d.select("path", F.lit(0.70).alias("confidence"), found.alias("fields"), F.lit("parsed from names").alias("notes")).where(F.size("fields") > 0)
+    d = held(media, _t=tag("title"), _a=tag("artist"), _p=split_pair(clean_track(F.col("path"))), _c=clean_track(tag("title"), stem=False))
+    artist = F.when(missing(F.col("_a")), F.col("_p.artist")).otherwise(F.lit(""))
+    title = F.when(missing(F.col("_t")), F.col("_p.title")).when(F.col("_c") != squeeze(F.col("_t")), F.col("_c")).otherwise(F.lit(""))
+    d = held(d, _found=F.map_filter(F.create_map(F.lit("title"), title, F.lit("artist"), artist), lambda _, v: v != ""))
+    return _answered(d.drop("_t", "_a", "_p", "_c"), 0.70, "parsed from names")
 
 
-def rules_provider(rules: list[tuple[str, dict[str, str]]]) -> Callable[[DataFrame], DataFrame]:
+def local_cleanup(media: DataFrame) -> DataFrame:
+    """R-13 as evidence."""
+    return in_rows("local_cleanup", "free", cleanup_answers).enrich(media)
+
+
+def rules_answers(rules: list[tuple[str, dict[str, str]]]) -> Callable[[DataFrame], DataFrame]:
     """C-06, J-10: fields inferred from genre, album and title by ordered keyword rules, and from the tempo."""
 
-    def enrich(media: DataFrame) -> DataFrame:
+    def answer(media: DataFrame) -> DataFrame:
         tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
         text = F.lower(F.concat_ws(" ", *[F.nullif(tag(k), F.lit("")) for k in ("genre", "subgenre", "album", "title")]))
-        hits = keyword_rules(media, "path", text, rules).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("f"))
-        bpm = F.when(tag("bpm").rlike(r"^\d{1,9}$"), tag("bpm").try_cast("int"))
-        fast = F.when(bpm >= 125, F.create_map(F.lit("energy"), F.lit("high"), F.lit("mood"), F.lit("energetic"))).when(bpm <= 80, F.create_map(F.lit("energy"), F.lit("low"), F.lit("mood"), F.lit("calm")))
-        d = media.join(hits, "path", "left").withColumn("fields", overlay(fast, F.col("f")))
-        return d.where(F.size("fields") > 0).select("path", F.lit(0.88).alias("confidence"), "fields", F.lit("inferred").alias("notes"))
+        d = held(media, _text=text, _bpm=F.when(tag("bpm").rlike(r"^\d{1,9}$"), tag("bpm").try_cast("int")))
+        # the first rule that sets a field wins
+        first = [x for f in dict.fromkeys(f for _, sets in rules for f in sets) for x in (F.lit(f), F.coalesce(*[F.when(F.col("_text").contains(w), F.lit(sets[f])) for w, sets in rules if f in sets]))]
+        hits = F.map_filter(F.create_map(*first).cast("map<string,string>"), lambda _, v: v.isNotNull())
+        fast = F.when(F.col("_bpm") >= 125, F.create_map(F.lit("energy"), F.lit("high"), F.lit("mood"), F.lit("energetic"))).when(F.col("_bpm") <= 80, F.create_map(F.lit("energy"), F.lit("low"), F.lit("mood"), F.lit("calm")))
+        d = held(d, _found=hits)
+        return _answered(held(d, _found=overlay(fast, F.col("_found"))).drop("_text", "_bpm"), 0.88, "inferred")
+
+    return answer
 
-    return enrich
+
+def rules_provider(rules: list[tuple[str, dict[str, str]]]) -> Callable[[DataFrame], DataFrame]:
+    """C-06, J-10 as evidence."""
+    return in_rows("rules_inference", "web", rules_answers(rules)).enrich
 
 
 def with_cache(name: str, stage: str, requests: Callable[[DataFrame], DataFrame], fetch: Callable[[dict], dict | None], log: DataFrame, now: float, ttl_days: float, least: float = 0.6) -> Provider:
@@ -113,6 +139,23 @@ def collect_evidence(media: DataFrame, providers: list[Provider], required: list
     return out
 
 
+def with_evidence(media: DataFrame, providers: list[Provider], required: list[str]) -> DataFrame:
+    """U-01, P-02, R-04: ``collect_evidence`` of providers that answer in rows: ``media`` with the array ``evidence``, without a join or a shuffle."""
+    d = media.withColumn("_own", F.col("tags"))
+    none = F.create_map().cast("map<string,string>")
+    for seq, p in enumerate(providers, 1):
+        open_ = F.col("_answer").isNotNull()
+        if p.stage in ("web", "paid"):
+            open_ &= F.size(missing_required(required, F.col("tags"), none, F.coalesce("has_cover_art", F.lit(False)))) > 0
+        notes = F.concat(F.lit(p.stage + ": "), F.coalesce("_answer.notes", F.lit("")))
+        one = F.struct(F.lit(seq).alias("seq"), F.lit(p.stage).alias("stage"), F.lit(p.name).alias("provider"), "_answer.confidence", "_answer.fields", notes.alias("notes"))
+        d = held(p.answer(d), **{f"_e{seq}": F.when(open_, one)}).drop("_answer")
+        if seq < len(providers):
+            d = held(d, tags=F.when(F.col(f"_e{seq}").isNull(), F.col("tags")).otherwise(overlay(F.col("tags"), F.col(f"_e{seq}.fields"))))
+    given = F.filter(F.array(*[F.col(f"_e{i + 1}") for i in range(len(providers))]), lambda e: e.isNotNull())
+    return d.select(*[F.col("_own").alias("tags") if c == "tags" else F.col(c) for c in media.columns], given.alias("evidence"))
+
+
 def identity_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """P-03: paths whose title, artist or album is there and differs after N11: those are looked up again."""
     from sonarium.functions.text import key_identity
