@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.text import clean_track, key_match, split_pair
-from sonarium.session import held
+from sonarium.session import held, stored
 
 
 def candidate_pairs(filename: Column, title: Column, artist: Column, album: Column, most: int = 4) -> Column:
@@ -50,10 +50,42 @@ def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     The rest goes through an Arrow UDF, whose arguments are null where containment decides; equal pairs of a batch are compared once.
     """
     d = held(df, _a=key_match(F.coalesce(F.col(a), F.lit(""))), _b=key_match(F.coalesce(F.col(b), F.lit(""))))
-    d = held(d, _known=containment(F.col("_a"), F.col("_b")))
+    return _of_keys(d, "_a", "_b", out).drop("_a", "_b")
+
+
+def _of_keys(d: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``with_similarity`` of two columns that hold keys."""
+    d = held(d, _known=containment(F.col(a), F.col(b)))
     open_ = F.col("_known").isNull()
-    ratio = F.pandas_udf(_ratio, "double")(F.when(open_, F.col("_a")), F.when(open_, F.col("_b")))
-    return d.withColumn(out, F.coalesce(F.col("_known"), ratio)).drop("_a", "_b", "_known")
+    ratio = F.pandas_udf(_ratio, "double")(F.when(open_, F.col(a)), F.when(open_, F.col(b)))
+    return d.withColumn(out, F.coalesce(F.col("_known"), ratio)).drop("_known")
+
+
+def _letters(s: pd.Series) -> pd.Series:
+    """64 bits of a key: one for each sign of a key, others for its second occurrence."""
+    signs = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
+
+    def one(key):
+        bits = 0
+        for c in set(key):
+            bits |= 1 << signs[c]
+            if key.count(c) > 1:
+                bits |= 1 << 37 + signs[c] % 27
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    return s.map({k: one(k) for k in set(s)}).astype("int64")
+
+
+def most_similar(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """An upper bound of the similarity of two keys by their lengths and letters.
+
+    Signs of one that the other lacks match nothing; as bits may coincide, no more are counted than there are. One key holds the other
+    only if the other lacks none of its signs.
+    """
+    without = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    ratio = 2.0 * F.least(F.length(a) - without(a_letters, b_letters), F.length(b) - without(b_letters, a_letters)) / (F.length(a) + F.length(b))
+    held_ = (without(a_letters, b_letters) == 0) | (without(b_letters, a_letters) == 0)
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(held_, F.greatest(F.lit(0.70), ratio)).otherwise(ratio)
 
 
 def plausible(title: Column, artist: Column, least_title: float = 0.55, least_artist: float = 0.45) -> Column:
@@ -80,25 +112,68 @@ def best_release(releases: Column) -> Column:
     return F.array_max(F.transform(releases, lambda r, i: F.struct(r["similarity"], r["official"], r["dated"], (-i).alias("order"), r.alias("release"))))["release"]
 
 
+#: Lengths of titles are blocked by powers of this, the longest ones in one block; what rounding may take from a score.
+LENGTHS, LONGEST, SLACK = 1.25, 60, 1e-6
+
+
+def _length_block(n: Column) -> Column:
+    return F.least(F.lit(LONGEST), F.greatest(F.lit(0), F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(LENGTHS))).cast("int")))
+
+
 def match_blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, artist: str) -> DataFrame:
     """J-05: for each left row the best plausible right row, both with ``title`` and ``artist``, the smallest id on ties.
 
-    Candidates share a token of the title's key: an equality join on exploded tokens, never a cross join. Titles and artists
-    that repeat are compared once: the join is one of distinct pairs, the right ones with their smallest id, and its result
-    is given to all left rows. What tokens that a third of all titles hold bring together is split by adaptive execution.
+    Candidates share a token of the title's key. Keys that repeat are compared once, the right ones with their smallest id. Nothing
+    scores higher than equal keys, so those are one equality join. For the other left keys the best candidate of the same title or the
+    same artist gives the score to reach; with it, candidates are an equality join on token and block of lengths, in which a pair counts
+    at its first common token, and is compared only if its lengths and letters allow that score. Pairs are never shuffled.
     """
-    word = F.explode(F.array_distinct(F.split(key_match(F.col(title)), " "))).alias("token")
-    names = lambda p: [F.col(title).alias(p + title), F.col(artist).alias(p + artist)]
-    l = left.select(title, artist).distinct().select(*names("l_"), word).where(F.col("token") != "")
-    r = right.groupBy(title, artist).agg(F.min(right_id).alias("r_" + right_id)).select(*names("r_"), "r_" + right_id, word).where(F.col("token") != "")
-    pairs = l.join(r, "token").drop("token").distinct()
-    scored = with_similarity(with_similarity(pairs, "l_" + title, "r_" + title, "title_score"), "l_" + artist, "r_" + artist, "artist_score")
-    scored = scored.withColumn("artist_score", F.when(F.coalesce(F.col("l_" + artist), F.lit("")) == "", F.lit(0.65)).otherwise(F.col("artist_score")))
-    best = best_candidates(scored.withColumn("_names", F.struct("l_" + title, "l_" + artist)), "_names", order="r_" + right_id)
-    rows = left.select(F.col(left_id).alias("l_" + left_id), F.col(title).alias("_t"), F.col(artist).alias("_a"))
-    best = best.drop("l_" + title, "l_" + artist).withColumns({"l_" + title: F.col(f"_names.l_{title}"), "l_" + artist: F.col(f"_names.l_{artist}")}).drop("_names")
-    same = F.col("_t").eqNullSafe(F.col("l_" + title)) & F.col("_a").eqNullSafe(F.col("l_" + artist))
-    return rows.join(best, same).drop("_t", "_a")
+    key = lambda c: key_match(F.coalesce(F.col(c), F.lit("")))
+    keyed = lambda d, *cols: held(d.select(*cols, title, artist), _t=key(title), _a=key(artist)).where(F.col("_t") != "")
+    blank = F.coalesce(F.col(artist), F.lit("")) == ""
+    # a left artist that has signs but no key is like none; so an empty key is that of a blank artist
+    rows = keyed(left, left_id).where(blank | (F.col("_a") != "")).withColumn("_a", F.when(blank, F.lit("")).otherwise(F.col("_a")))
+    r = keyed(right, right_id).groupBy("_t", "_a").agg(F.min(F.struct(right_id, title, artist)).alias("r"))
+    bits = F.pandas_udf(_letters, "bigint")
+    r = stored(r.select("_t", "_a", "r", bits("_t").alias("_tb"), bits("_a").alias("_ab")), "match_right")
+    best_of = r.where(F.col("_a") != "").select("_t", "_a", "r").unionByName(r.groupBy("_t").agg(F.min("r").alias("r")).select("_t", F.lit("").alias("_a"), "r"))
+    found = stored(rows.select("_t", "_a").distinct().join(best_of, ["_t", "_a"], "left"), "match_left")
+    flat = 0.65
+    equal = found.where(F.col("r").isNotNull()).select("_t", "_a", "r", F.lit(1.0).alias("title_score"), F.when(F.col("_a") == "", flat).otherwise(1.0).alias("artist_score"))
+    rest = found.where(F.col("r").isNull()).select("_t", "_a", bits("_t").alias("_tb"), bits("_a").alias("_ab"))
+
+    other = r.select(F.col("_t").alias("rt"), F.col("_a").alias("ra"), F.col("_tb").alias("rtb"), F.col("_ab").alias("rab"), "r")
+    weights = (0.60, 0.40)
+    total = lambda t, a: weights[0] * t + weights[1] * a
+
+    def scored(d):
+        d = _of_keys(_of_keys(d, "_t", "rt", "title_score"), "_a", "ra", "artist_score")
+        d = d.withColumn("artist_score", F.when(F.col("_a") == "", F.lit(flat)).otherwise(F.col("artist_score")))
+        return d.where(plausible(F.col("title_score"), F.col("artist_score")))
+
+    tokens = lambda c: F.array_distinct(F.split(c, " "))
+    near = rest.join(other, F.col("_t") == F.col("rt")).unionByName(rest.join(other, (F.col("_a") == F.col("ra")) & (F.col("_a") != "") & F.arrays_overlap(tokens(F.col("_t")), tokens(F.col("rt")))))
+    reached = scored(near.select("_t", "_a", "rt", "ra")).groupBy("_t", "_a").agg(F.max(total(F.col("title_score"), F.col("artist_score"))).alias("_least"))
+    top = F.when(F.col("_a") == "", weights[1] * flat).otherwise(weights[1])
+    l = rest.join(reached, ["_t", "_a"], "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - SLACK)
+    l = l.withColumn("_sure", F.greatest(F.lit(0.55), (F.col("_least") - top) / weights[0]) - SLACK)
+    n = F.length("_t")
+    share = F.col("_sure") / (2 - F.col("_sure"))  # of the longer title's length, what the shorter one has at least, unless one holds the other
+    held_too = F.col("_sure") <= 0.70
+    first = F.when(held_too, F.lit(0)).otherwise(_length_block(F.floor(n * share)))
+    last = F.when(held_too, F.lit(LONGEST)).otherwise(_length_block(F.ceil(n / share)))
+    l = held(l, _block=F.sequence(first, last), _words=tokens(F.col("_t")))
+    l = l.withColumn("_block", F.explode("_block")).withColumn("token", F.explode("_words"))
+    b = held(other, _rwords=tokens(F.col("rt")), _block=_length_block(F.length("rt"))).withColumn("token", F.explode("_rwords"))
+    t = most_similar(F.col("_t"), F.col("rt"), F.col("_tb"), F.col("rtb"))
+    a = F.when(F.col("_a") == "", F.lit(flat)).otherwise(most_similar(F.col("_a"), F.col("ra"), F.col("_ab"), F.col("rab")))
+    able = (t >= F.col("_sure")) & (a >= 0.45) & (total(t, a) >= F.col("_least")) & (F.get(F.array_intersect("_words", "_rwords"), F.lit(0)) == F.col("token"))
+    pairs = l.join(b, ["token", "_block"]).where(able).select("_t", "_a", "rt", "ra", "r")
+    fuzzy = scored(pairs).groupBy("_t", "_a").agg(F.max(F.struct(total(F.col("title_score"), F.col("artist_score")).alias("score"), (-F.col(f"r.{right_id}")).alias("o"), "r", "title_score", "artist_score")).alias("b"))
+    fuzzy = fuzzy.select("_t", "_a", "b.r", "b.title_score", "b.artist_score")
+    best = equal.unionByName(fuzzy).withColumn("score", total(F.col("title_score"), F.col("artist_score")))
+    rows = rows.select(F.col(left_id).alias("l_" + left_id), F.col(title).alias("l_" + title), F.col(artist).alias("l_" + artist), "_t", "_a")
+    return rows.join(best, ["_t", "_a"]).select("l_" + left_id, *[F.col(f"r.{c}").alias("r_" + c) for c in (right_id, title, artist)], "title_score", "artist_score", "score", "l_" + title, "l_" + artist)
 
 
 def ranked(df: DataFrame, key: list[str], order: list, most: int = 1) -> DataFrame:
