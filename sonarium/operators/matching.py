@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.text import clean_track, key_match, split_pair
-from sonarium.session import held, stored
+from sonarium.operators import similar
+from sonarium.session import held, small, spread, stored
 
 
 def candidate_pairs(filename: Column, title: Column, artist: Column, album: Column, most: int = 4) -> Column:
@@ -61,31 +63,35 @@ def _of_keys(d: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return d.withColumn(out, F.coalesce(F.col("_known"), ratio)).drop("_known")
 
 
-def _letters(s: pd.Series) -> pd.Series:
-    """64 bits of a key: one for each sign of a key, others for its second occurrence."""
+def _letters(s: pd.Series) -> pd.DataFrame:
+    """A key's signs as bits of two words, one for each sign's first, second and third occurrence, and how many signs have no bit."""
     signs = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 
     def one(key):
-        bits = 0
-        for c in set(key):
-            bits |= 1 << signs[c]
-            if key.count(c) > 1:
-                bits |= 1 << 37 + signs[c] % 27
-        return bits - (1 << 64) if bits >> 63 else bits
+        places = [37 * k + signs[c] for c in set(key) for k in range(min(3, key.count(c)))]
+        return sum(1 << p for p in places), len(key) - len(places)
 
-    return s.map({k: one(k) for k in set(s)}).astype("int64")
+    known = {k: one(k) for k in set(s)}
+    words = np.array([(known[k][0] & 2**64 - 1, known[k][0] >> 64) for k in s], np.uint64).reshape(-1, 2).view(np.int64)
+    return pd.DataFrame({"x": words[:, 0], "y": words[:, 1], "n": [float(len(k)) for k in s], "more": [float(known[k][1]) for k in s]})
 
 
-def most_similar(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
-    """An upper bound of the similarity of two keys by their lengths and letters.
+def measured(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with the bits and the length of some keys: the columns ``_x``, ``_y``, ``_n`` and ``_more`` after each name."""
+    letters = F.pandas_udf(_letters, "x bigint, y bigint, n double, more double")
+    d = df.select("*", *[letters(k).alias(f"_of_{k}") for k in keys])
+    return d.select(*df.columns, *[F.coalesce(F.col(f"_of_{k}.{c}"), F.lit(0).cast(kind)).alias(f"{k}_{c}") for k in keys for c, kind in (("x", "bigint"), ("y", "bigint"), ("n", "double"), ("more", "double"))])
 
-    Signs of one that the other lacks match nothing; as bits may coincide, no more are counted than there are. One key holds the other
-    only if the other lacks none of its signs.
+
+def most_similar(a: str, b: str) -> Column:
+    """An upper bound of the similarity of two measured keys that are not blank, by their lengths and signs.
+
+    Matching blocks are made of signs of both. One key holds the other only if it has all its signs. The expression stays small, as
+    the code of a join's condition is not compiled when it is long.
     """
-    without = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-    ratio = 2.0 * F.least(F.length(a) - without(a_letters, b_letters), F.length(b) - without(b_letters, a_letters)) / (F.length(a) + F.length(b))
-    held_ = (without(a_letters, b_letters) == 0) | (without(b_letters, a_letters) == 0)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(held_, F.greatest(F.lit(0.70), ratio)).otherwise(ratio)
+    bits = [F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.col(f"{b}_{w}"))).cast("double") for w in "xy"]
+    common = bits[0] + bits[1] + F.least(f"{a}_more", f"{b}_more")
+    return F.greatest(2.0 * common / (F.col(f"{a}_n") + F.col(f"{b}_n")), F.when(common >= F.least(f"{a}_n", f"{b}_n"), F.lit(0.70)).otherwise(F.lit(0.0)))
 
 
 def plausible(title: Column, artist: Column, least_title: float = 0.55, least_artist: float = 0.45) -> Column:
@@ -112,68 +118,70 @@ def best_release(releases: Column) -> Column:
     return F.array_max(F.transform(releases, lambda r, i: F.struct(r["similarity"], r["official"], r["dated"], (-i).alias("order"), r.alias("release"))))["release"]
 
 
-#: Lengths of titles are blocked by powers of this, the longest ones in one block; what rounding may take from a score.
-LENGTHS, LONGEST, SLACK = 1.25, 60, 1e-6
+#: Pairs of keys that one cell of a token's grid holds; how similar the titles are of the pairs that are compared first.
+CELL, CLOSE = 2**24, 0.75
+
+
+def _token_pairs(l: DataFrame, r: DataFrame, able: Column) -> DataFrame:
+    """The ``able`` pairs of left and right keys whose titles share a token, once for each such token.
+
+    An equality join on the token, whose condition sees numbers only. A token that makes many pairs is split into a grid of cells.
+    """
+    tokens = lambda d, c: d.withColumn("token", F.explode(F.array_distinct(F.split(c, " "))))
+    certain = lambda d: d.select(*[F.coalesce(c, F.lit(0).cast(kind)).alias(c) if kind in ("double", "bigint") and c != "rid" else c for c, kind in d.dtypes])
+    l, r = tokens(certain(l), "_t"), tokens(certain(r), "rt")
+    count = lambda d, c: d.groupBy("token").agg(F.count(F.lit(1)).alias(c))
+    side = F.ceil(F.sqrt(F.col("_nl") * F.col("_nr") / CELL)).cast("int")
+    grid = small(stored(count(l, "_nl").join(count(r, "_nr"), "token").select("token", side.alias("_side")).where("_side > 1"), "match_grid"))
 
+    def cells(d, own, other, *key):
+        d = d.join(grid, "token", "left").withColumn("_side", F.coalesce("_side", F.lit(1)))
+        d = d.withColumn(own, F.pmod(F.xxhash64(*key), F.col("_side")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_side") - 1)))
+        return spread(d.drop("_side"), "token", "_blank", "_row", "_column")
 
-def _length_block(n: Column) -> Column:
-    return F.least(F.lit(LONGEST), F.greatest(F.lit(0), F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(LENGTHS))).cast("int")))
+    return cells(l, "_row", "_column", "_t", "_a").hint("shuffle_hash").join(cells(r, "_column", "_row", "rt", "ra"), ["token", "_blank", "_row", "_column"]).where(able)
 
 
 def match_blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, artist: str) -> DataFrame:
     """J-05: for each left row the best plausible right row, both with ``title`` and ``artist``, the smallest id on ties.
 
     Candidates share a token of the title's key. Keys that repeat are compared once, the right ones with their smallest id. Nothing
-    scores higher than equal keys, so those are one equality join. For the other left keys the best candidate of the same title or the
-    same artist gives the score to reach; with it, candidates are an equality join on token and block of lengths, in which a pair counts
-    at its first common token, and is compared only if its lengths and letters allow that score. Pairs are never shuffled.
+    scores higher than equal keys, so those are one equality join. For the other left keys candidates are an equality join on
+    tokens, and a pair is compared only if its lengths, its letters and its common subsequences allow a plausible score that no other
+    pair beats. The pairs whose titles may be close go first and give all others the score to reach. Pairs are never shuffled.
     """
     key = lambda c: key_match(F.coalesce(F.col(c), F.lit("")))
     keyed = lambda d, *cols: held(d.select(*cols, title, artist), _t=key(title), _a=key(artist)).where(F.col("_t") != "")
     blank = F.coalesce(F.col(artist), F.lit("")) == ""
     # a left artist that has signs but no key is like none; so an empty key is that of a blank artist
     rows = keyed(left, left_id).where(blank | (F.col("_a") != "")).withColumn("_a", F.when(blank, F.lit("")).otherwise(F.col("_a")))
-    r = keyed(right, right_id).groupBy("_t", "_a").agg(F.min(F.struct(right_id, title, artist)).alias("r"))
-    bits = F.pandas_udf(_letters, "bigint")
-    r = stored(r.select("_t", "_a", "r", bits("_t").alias("_tb"), bits("_a").alias("_ab")), "match_right")
-    best_of = r.where(F.col("_a") != "").select("_t", "_a", "r").unionByName(r.groupBy("_t").agg(F.min("r").alias("r")).select("_t", F.lit("").alias("_a"), "r"))
+    r = stored(keyed(right, right_id).groupBy("_t", "_a").agg(F.min(F.struct(right_id, title, artist)).alias("r")), "match_right")
+    # the right rows of each artist, and for left rows without one the first of each title
+    best_of = r.where(F.col("_a") != "").unionByName(r.groupBy("_t").agg(F.min("r").alias("r")).select("_t", F.lit("").alias("_a"), "r"))
     found = stored(rows.select("_t", "_a").distinct().join(best_of, ["_t", "_a"], "left"), "match_left")
-    flat = 0.65
+    flat, weights, floors = 0.65, (0.60, 0.40), (0.55, 0.45)
     equal = found.where(F.col("r").isNotNull()).select("_t", "_a", "r", F.lit(1.0).alias("title_score"), F.when(F.col("_a") == "", flat).otherwise(1.0).alias("artist_score"))
-    rest = found.where(F.col("r").isNull()).select("_t", "_a", bits("_t").alias("_tb"), bits("_a").alias("_ab"))
 
-    other = r.select(F.col("_t").alias("rt"), F.col("_a").alias("ra"), F.col("_tb").alias("rtb"), F.col("_ab").alias("rab"), "r")
-    weights = (0.60, 0.40)
+    rest = stored(measured(found.where(F.col("r").isNull()).select("_t", "_a", (F.col("_a") == "").alias("_blank")), "_t", "_a"), "match_rest")
+    other = best_of.select(F.col("_t").alias("rt"), F.col("_a").alias("ra"), (F.col("_a") == "").alias("_blank"), F.col(f"r.{right_id}").alias("rid"))
+    other = stored(measured(other, "rt", "ra"), "match_other")
     total = lambda t, a: weights[0] * t + weights[1] * a
 
-    def scored(d):
-        d = _of_keys(_of_keys(d, "_t", "rt", "title_score"), "_a", "ra", "artist_score")
-        d = d.withColumn("artist_score", F.when(F.col("_a") == "", F.lit(flat)).otherwise(F.col("artist_score")))
-        return d.where(plausible(F.col("title_score"), F.col("artist_score")))
-
-    tokens = lambda c: F.array_distinct(F.split(c, " "))
-    near = rest.join(other, F.col("_t") == F.col("rt")).unionByName(rest.join(other, (F.col("_a") == F.col("ra")) & (F.col("_a") != "") & F.arrays_overlap(tokens(F.col("_t")), tokens(F.col("rt")))))
-    reached = scored(near.select("_t", "_a", "rt", "ra")).groupBy("_t", "_a").agg(F.max(total(F.col("title_score"), F.col("artist_score"))).alias("_least"))
-    top = F.when(F.col("_a") == "", weights[1] * flat).otherwise(weights[1])
-    l = rest.join(reached, ["_t", "_a"], "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - SLACK)
-    l = l.withColumn("_sure", F.greatest(F.lit(0.55), (F.col("_least") - top) / weights[0]) - SLACK)
-    n = F.length("_t")
-    share = F.col("_sure") / (2 - F.col("_sure"))  # of the longer title's length, what the shorter one has at least, unless one holds the other
-    held_too = F.col("_sure") <= 0.70
-    first = F.when(held_too, F.lit(0)).otherwise(_length_block(F.floor(n * share)))
-    last = F.when(held_too, F.lit(LONGEST)).otherwise(_length_block(F.ceil(n / share)))
-    l = held(l, _block=F.sequence(first, last), _words=tokens(F.col("_t")))
-    l = l.withColumn("_block", F.explode("_block")).withColumn("token", F.explode("_words"))
-    b = held(other, _rwords=tokens(F.col("rt")), _block=_length_block(F.length("rt"))).withColumn("token", F.explode("_rwords"))
-    t = most_similar(F.col("_t"), F.col("rt"), F.col("_tb"), F.col("rtb"))
-    a = F.when(F.col("_a") == "", F.lit(flat)).otherwise(most_similar(F.col("_a"), F.col("ra"), F.col("_ab"), F.col("rab")))
-    able = (t >= F.col("_sure")) & (a >= 0.45) & (total(t, a) >= F.col("_least")) & (F.get(F.array_intersect("_words", "_rwords"), F.lit(0)) == F.col("token"))
-    pairs = l.join(b, ["token", "_block"]).where(able).select("_t", "_a", "rt", "ra", "r")
-    fuzzy = scored(pairs).groupBy("_t", "_a").agg(F.max(F.struct(total(F.col("title_score"), F.col("artist_score")).alias("score"), (-F.col(f"r.{right_id}")).alias("o"), "r", "title_score", "artist_score")).alias("b"))
-    fuzzy = fuzzy.select("_t", "_a", "b.r", "b.title_score", "b.artist_score")
-    best = equal.unionByName(fuzzy).withColumn("score", total(F.col("title_score"), F.col("artist_score")))
+    def best(pairs):
+        scores = similar.best_pairs(pairs.select("_t", "_a", "_least", "rt", "ra", "rid"), weights, floors, flat)
+        one = F.struct(total(F.col("title_score"), F.col("artist_score")).alias("score"), (-F.col("rid")).alias("o"), "rt", "ra", "title_score", "artist_score")
+        return scores.groupBy("_t", "_a").agg(F.max(one).alias("b"))
+
+    t, a = most_similar("_t", "rt"), F.when(F.col("_a_n") == 0, F.lit(flat)).otherwise(most_similar("_a", "ra"))
+    able = (t >= F.col("_need")) & (a >= floors[1]) & (total(t, a) >= F.col("_least"))
+    close = stored(best(_token_pairs(rest.withColumn("_least", F.lit(0.0)).withColumn("_need", F.lit(CLOSE)), other, able)), "match_close")
+    reached = rest.join(close.select("_t", "_a", F.col("b.score").alias("_least")), ["_t", "_a"], "left")
+    reached = reached.withColumn("_least", F.coalesce("_least", F.lit(0.0)) - similar.SLACK).withColumn("_need", F.lit(floors[0]))
+    won = best(_token_pairs(reached, other, able)).unionByName(close).groupBy("_t", "_a").agg(F.max("b").alias("b")).select("_t", "_a", "b.*")
+    won = won.join(best_of.select(F.col("_t").alias("rt"), F.col("_a").alias("ra"), "r"), ["rt", "ra"]).select("_t", "_a", "r", "title_score", "artist_score")
+    won = equal.unionByName(won).withColumn("score", total(F.col("title_score"), F.col("artist_score")))
     rows = rows.select(F.col(left_id).alias("l_" + left_id), F.col(title).alias("l_" + title), F.col(artist).alias("l_" + artist), "_t", "_a")
-    return rows.join(best, ["_t", "_a"]).select("l_" + left_id, *[F.col(f"r.{c}").alias("r_" + c) for c in (right_id, title, artist)], "title_score", "artist_score", "score", "l_" + title, "l_" + artist)
+    return rows.join(won, ["_t", "_a"]).select("l_" + left_id, *[F.col(f"r.{c}").alias("r_" + c) for c in (right_id, title, artist)], "title_score", "artist_score", "score", "l_" + title, "l_" + artist)
 
 
 def ranked(df: DataFrame, key: list[str], order: list, most: int = 1) -> DataFrame:
